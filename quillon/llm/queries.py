@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import frequency, mixture, rebalance, splits
+from quillon.llm import frequency, mixture, overlaps, rebalance, replies, splits
 from quillon.sources import table
 
 
@@ -50,6 +50,22 @@ def _p8_report(spark, d):
     return mixture.mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def _p3_found(spark, d):
+    return replies.broken_replies(table(spark, d, "predictions"))
+
+
+def _p3_report(spark, d):
+    return replies.defect_report(table(spark, d, "predictions"))
+
+
+def _p5_found(spark, d):
+    return overlaps.overlapping_rows(table(spark, d, "qa_rows")).select("id_a", "id_b")
+
+
+def _p5_report(spark, d):
+    return overlaps.overlap_report(table(spark, d, "qa_rows"))
+
+
 QUERIES = {
     "p1_found": _p1_found,
     "p1_report": _p1_report,
@@ -57,8 +73,12 @@ QUERIES = {
     "p2_found": _p2_found,
     "p2_assigned": _p2_assigned,
     "p2_report": _p2_report,
+    "p3_found": _p3_found,
+    "p3_report": _p3_report,
     "p4_found": _p4_found,
     "p4_frequencies": _p4_frequencies,
+    "p5_found": _p5_found,
+    "p5_report": _p5_report,
     "p8_found": _p8_found,
     "p8_mix": _p8_mix,
     "p8_report": _p8_report,
