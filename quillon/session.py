@@ -56,6 +56,14 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over enough partitions for costly work in Python; a scan of many partitions is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(3 * cores, key)
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """True if ``df`` has at most ``rows`` rows; reads no more than ``rows`` + 1 of them."""
     return df.limit(rows + 1).count() <= rows
