@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import frequency, mixture, overlaps, rebalance, replies, splits
+from quillon.llm import frequency, leaks, mixture, overlaps, rebalance, replies, splits
 from quillon.sources import table
 
 
@@ -38,6 +38,14 @@ def _p4_frequencies(spark, d):
     return frequency.frequency_report(table(spark, d, "predictions"), table(spark, d, "pre_rebalance_dataset_stats"))
 
 
+def _p7_found(spark, d):
+    return leaks.leaked_documents(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
+
+
+def _p7_report(spark, d):
+    return leaks.leak_report(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+
+
 def _p8_found(spark, d):
     return mixture.dry_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
@@ -79,6 +87,8 @@ QUERIES = {
     "p4_frequencies": _p4_frequencies,
     "p5_found": _p5_found,
     "p5_report": _p5_report,
+    "p7_found": _p7_found,
+    "p7_report": _p7_report,
     "p8_found": _p8_found,
     "p8_mix": _p8_mix,
     "p8_report": _p8_report,
