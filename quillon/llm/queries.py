@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import frequency, leaks, mixture, overlaps, rebalance, replies, splits
+from quillon.llm import frequency, leaks, mixture, overlaps, rebalance, replies, splits, subjects
 from quillon.sources import table
 
 
@@ -74,6 +74,14 @@ def _p5_report(spark, d):
     return overlaps.overlap_report(table(spark, d, "qa_rows"))
 
 
+def _p9_found(spark, d):
+    return subjects.assigned_subjects(table(spark, d, "documents"), table(spark, d, "subject_areas"))
+
+
+def _p9_report(spark, d):
+    return subjects.subject_report(table(spark, d, "documents"), table(spark, d, "subject_areas"))
+
+
 QUERIES = {
     "p1_found": _p1_found,
     "p1_report": _p1_report,
@@ -92,6 +100,8 @@ QUERIES = {
     "p8_found": _p8_found,
     "p8_mix": _p8_mix,
     "p8_report": _p8_report,
+    "p9_found": _p9_found,
+    "p9_report": _p9_report,
 }
 
 _TYPE = "regexp_replace(lower(question_type), '[^a-z0-9]', '', 'g')"

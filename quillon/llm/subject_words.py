@@ -1,0 +1,34 @@
+"""Words by which a sentence speaks for a subject area, in English, Spanish and German."""
+
+from __future__ import annotations
+
+# Words of each subject area.
+AREA_WORDS = {
+    "animal_care": """kilos kilo calf foal limp limps vet veterinary keeper's feed feeding fed nibbled refused breakfast hay straw stable herd drinking drinks trough dung hoof hooves claws
+        quarantine vaccination bathing diary guests bread stomach enclosure nets laboratory bull healthy diet sick medicine aviary
+        elefante bebe tränke elefant trinkt veterinario cría heno paja establo recinto cuidador pesa kalb heu stroh stall tierarzt pflegerin gehege wiegt""",
+    "evaluation": """accuracy confusion matrix benchmark baseline scored score scores rerun ranks judges gold exact match punishes unparsed replies relaxed scoring macro average mistakes
+        wrong answers analysis leader intervals overlap paired pairs held-out families improves cases collapse metric metrics key units tolerated last week gained points
+        exactitud métrica acierta respuestas errores aciertos fallos puntos prueba frente favorece genauigkeit metrik fehleranalyse treffer punkte beantwortet aufgaben antworten gegenüber""",
+    "hardware_firmware": """firmware gyro battery voltage motor motors sensor sensors encoder cable wire soldering board capacitor microcontroller rebooted bluetooth packets serial baud garbled
+        interrupt handler timer cycles flashing display screw tyre rubbed wheel millimetres chassis pin readings counts cells pack charging heats connector tie contact polls milliseconds drifts stall rattled loose mounted
+        tornillo giroscopio batería voltaje baudios rueda salida serie milisegundos schraube rad platine kabels kreisel akku spannung baud serielle ausgabe millisekunden lockere locker""",
+    "licensing_law": """licence license licences consent copyright clause paragraph liability credits lawyer counsel terms agreement attribution redistribution approval reuse rights contract forbids resale
+        sell permission withdrew takedown notice privacy officer faces blurred protection data share-alike merge signed form delete studio sprite belongs owns disputed written obliges expire wide parents sell show copyrighted gdpr
+        licencia cláusula consentimiento abogado dueño dibujo permiso firmado borrar revender prohíbe conjunto fotos lizenz klausel einwilligung anwalt zeichnung unterschrift löschen weiterverkauf vertrag urheberrecht verbietet""",
+    "model_training": """epoch epochs training loss dropout overfitting weights adapter rank fine-tuning fine-tuned learning rate checkpoint optimizer diverged warm-up weight decay batch batches gradient accumulation
+        memory tokens sequences mixed accelerator froze vision encoder layers tuned resumed save schedule updates curve flattened seeds curves stopped forgot skills earlier stable run swapped memory
+        tasa aprendizaje pérdida ajuste fino época reanudamos guardado control actualizaciones curva aplanó lernrate feintuning verlust kontrollpunkt epoche speicherstand aktualisierungen kurve""",
+    "object_detection": """detector boxes box rectangle rectangles bounding swapped corners detected threshold finds turned false positives recall precision crops confidence label confusion class network overlooked fused
+        models vote suppression non-maximum frames overlapping vanish wide frame labelled crowded differ covers
+        rectángulo rechteck farola laterne schließt detectó cajas caja confianza detector marcó objetos red rahmen detektor netz objekte übersah konfidenz""",
+    "question_design": """question questions template templates phrasing wording ambiguous prompts prompt reviewers rewrote item items contradict options shuffled solved looking gives solution away mentioning
+        yes-or-no counting word removed reply shortened annotators argue hinges dropped rejects family sentence wants know saying nearest instead closest made clearer apart rival names mentions stiff reads 
+        reescribieron formuliert preguntas fragen plantilla pregunta enunciado redacción formula ambiguo nombra solución revela fragevorlage frage wortlaut satz lösung mehrdeutig verrät nennt""",
+    "robot_navigation": """robot vehicle controller aligned heading driving drove drifted halted operator arriving circled parked waypoints mission planner detours route visits trial timed target overshot centimetres
+        leaving obstacle avoidance chose late nudged course approach phase state machine steered moves corrections home attempt failed way free path blocked forced shortest leads lane waits leaves stopped
+        roboter bog robot ruta rodea obstáculo detenerse giró llegó vehículo ensayo agotó autobús salió frenó intento falló camino libre fahrzeug versuch scheiterte weg frei überschritt hielt stoppschild hindernis""",
+    "scene_synthesis": """sprite sprites canvas canvases rendered render backdrop texture outline palette paints lawn composer scatters layout layouts sampler placed drawing drawn redrawn horizon floats margins
+        rim generate night pasted cut-outs transparent paper artist supplied recolourings variation ground tile background synthetic camera yard shuffling depth order hides recipe random export shadow touch
+        fondo semilla figura suelo hintergrund startwert gerendert künstliche szene figur fläche geklebt leiht horizonte píxeles quedó abajo dibuja lienzo figuras escena generador horizont szenengenerator leinwand zeichnet figuren tief pixel""",
+}
