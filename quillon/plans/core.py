@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from quillon.operators import schema_drift
+from quillon.operators import scene_questions, schema_drift
+from quillon.operators.scenes import boxes, scenes
+from quillon.plans import scene_sql
 from quillon.sources import table
 
-QUERIES = {
+
+def _scenes(spark, d):
+    return scenes(boxes(table(spark, d, "detections")), table(spark, d, "scenes"))
+
+
+def _scene_query(build):
+    return lambda spark, d: build(_scenes(spark, d))
+
+
+QUERIES = {name: _scene_query(build) for name, (_, build) in scene_questions.REGISTRY.items()} | {
     "p6_found": lambda spark, d: schema_drift.changes(table(spark, d, "final_test_report_files")),
     "p6_table": lambda spark, d: schema_drift.promote(
         schema_drift.ingest(table(spark, d, "final_test_report_files")),
@@ -13,4 +24,4 @@ QUERIES = {
     ),
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(scene_sql.SQL)
