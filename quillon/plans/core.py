@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quillon.operators import scene_questions, schema_drift
+from pyspark.sql import functions as F
+
+from quillon.operators import box_questions, scene_questions, schema_drift
 from quillon.operators.scenes import boxes, scenes
-from quillon.plans import scene_sql
+from quillon.plans import box_sql, scene_sql
 from quillon.sources import table
 
 
@@ -16,7 +18,27 @@ def _scene_query(build):
     return lambda spark, d: build(_scenes(spark, d))
 
 
-QUERIES = {name: _scene_query(build) for name, (_, build) in scene_questions.REGISTRY.items()} | {
+def _box_query(build):
+    return lambda spark, d: build(boxes(table(spark, d, "detections")))
+
+
+def depth_stand_in(det):
+    """Depths for boxes without a depth model: nearer the lower a box reaches into the image."""
+    return det.select("image_id", "det_idx", (10.0 * F.col("img_h") / F.greatest(F.col("y2"), F.lit(1.0))).alias("mean_depth"))
+
+
+def _depth_query(build):
+    def run(spark, d):
+        det = boxes(table(spark, d, "detections"))
+        return build(det, depth_stand_in(det))
+
+    return run
+
+
+QUERIES = {name: _scene_query(build) for name, (_, build) in scene_questions.REGISTRY.items()}
+QUERIES |= {name: _box_query(build) for name, (_, build) in box_questions.REGISTRY.items()}
+QUERIES |= {name: _depth_query(build) for name, (_, build) in box_questions.DEPTH.items()}
+QUERIES |= {
     "p6_found": lambda spark, d: schema_drift.changes(table(spark, d, "final_test_report_files")),
     "p6_table": lambda spark, d: schema_drift.promote(
         schema_drift.ingest(table(spark, d, "final_test_report_files")),
@@ -24,4 +46,4 @@ QUERIES = {name: _scene_query(build) for name, (_, build) in scene_questions.REG
     ),
 }
 
-SQL: dict[str, str] = dict(scene_sql.SQL)
+SQL: dict[str, str] = scene_sql.SQL | box_sql.SQL
