@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.operators import box_questions, scene_questions, schema_drift
+from quillon.operators import box_questions, ensemble, scene_questions, schema_drift, sinks
 from quillon.operators.scenes import boxes, scenes
-from quillon.plans import box_sql, scene_sql
+from quillon.plans import box_sql, scene_sql, text, text_sql
 from quillon.sources import table
+from quillon.streaming import log as stream_log
 
 
 def _scenes(spark, d):
@@ -37,6 +38,44 @@ def _depth_query(build):
 
 QUERIES = {name: _scene_query(build) for name, (_, build) in scene_questions.REGISTRY.items()}
 QUERIES |= {name: _box_query(build) for name, (_, build) in box_questions.REGISTRY.items()}
+QUERIES |= text.QUERIES
+
+
+def box_fusion(spark, d):
+    """Boxes of three stand-in models (by det_idx) fused."""
+    det = boxes(table(spark, d, "detections")).withColumn("model", F.concat(F.lit("m"), (F.col("det_idx") % 3).cast("string")))
+    return ensemble.weighted_fusion(det, {"m0": 1.0, "m1": 1.0, "m2": 1.0})
+
+
+def match_boxes(spark, d):
+    """Surer boxes matched to all boxes."""
+    det = boxes(table(spark, d, "detections"))
+    return ensemble.greedy_match(det.where("score >= 0.6"), det)
+
+
+def label_text(spark, d):
+    det = boxes(table(spark, d, "detections"))
+    codes = F.create_map(*[F.lit(x) for kv in (("person", 0), ("bench", 13), ("stop sign", 11), ("elephant", 20), ("zebra", 22), ("giraffe", 23), ("clock", 74)) for x in kv])
+    return sinks.label_text(det.withColumn("cls", F.try_element_at(codes, F.col("label"))))
+
+
+def fsm_replay(spark, d):
+    """The event log of each user replayed through a small state machine."""
+    log = table(spark, d, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), F.lit("last").alias("obs_key"), F.col("event_type").alias("answer"))
+    states = {"idle": (("last",), {("view",): "looking", ("signup",): "member"}), "looking": (("last",), {("purchase",): "buyer", ("error",): "idle"}), "buyer": (("last",), {("error",): "idle"}), "member": (("last",), {("purchase",): "buyer"})}
+    return stream_log.run_machine(log, states, "idle")
+
+
+QUERIES |= {
+    "box_fusion": box_fusion,
+    "match_boxes": match_boxes,
+    "label_text": label_text,
+    "fsm_replay": fsm_replay,
+    "windowed_accuracy": lambda spark, d: stream_log.windowed_accuracy(table(spark, d, "predictions").groupBy("pred_id").agg(F.min("scored_at").alias("scored_at"), F.first("model_family").alias("model_family"), F.first("is_correct").alias("is_correct")), time="scored_at", key="model_family", correct="is_correct").withColumn("start", F.unix_timestamp("start")),
+    "event_newest": lambda spark, d: stream_log.newest(table(spark, d, "events"), "user_id", "ts", ["event_id", "event_type"]),
+    "numbered_qa": lambda spark, d: sinks.numbered(table(spark, d, "scenes").select("source_id", "image_id"), ["source_id"]),
+    "conversation_lines": lambda spark, d: sinks.conversations(table(spark, d, "qa_rows")),
+}
 QUERIES |= {name: _depth_query(build) for name, (_, build) in box_questions.DEPTH.items()}
 QUERIES |= {
     "p6_found": lambda spark, d: schema_drift.changes(table(spark, d, "final_test_report_files")),
@@ -46,4 +85,13 @@ QUERIES |= {
     ),
 }
 
-SQL: dict[str, str] = scene_sql.SQL | box_sql.SQL
+SQL: dict[str, str] = (
+    scene_sql.SQL
+    | box_sql.SQL
+    | text_sql.SQL
+    | {
+        "windowed_accuracy": "SELECT start, key, count(*) AS n, avg(c) AS accuracy FROM (SELECT pred_id, CAST(floor(epoch(min(scored_at)) / 3600) AS BIGINT) * 3600 AS start, any_value(model_family) AS key, any_value(is_correct) AS c FROM predictions GROUP BY 1) GROUP BY 1, 2",
+        "event_newest": "SELECT user_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
+        "numbered_qa": "SELECT source_id, image_id, row_number() OVER (ORDER BY source_id) - 1 AS id FROM scenes",
+    }
+)
