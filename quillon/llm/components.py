@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
     Edges are undirected; loops and repeated edges change nothing, edges with a null end are
     ignored. An empty input gives an empty result.
     """
-    pairs = edges.where("src is not null and dst is not null").select("src", "dst")
+    pairs = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())  # read several times below
     nodes = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
     both = pairs.union(pairs.select("dst", "src")).where("src <> dst").distinct()
     links = cut(both.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS))))  # each level of seeds reads its own links only
