@@ -1,10 +1,10 @@
 """Connected components by frontier breadth-first search from many seeds at once.
 
-The adjacency lists are hash-partitioned by node. Every node whose hash is the least among itself
-and its neighbours is a seed, so each component has at least one. All seeds expand together, one
-step a round; where the frontiers of two seeds meet, an edge goes to the graph of seeds. That graph
-has at most half as many nodes as the graph had non-isolated ones, and is solved in the same way
-until no two seeds meet. Nothing but row counts reaches the driver. The neighbours of a node are
+The adjacency lists are hash-partitioned by node. Every node whose hash is the least of all within
+two steps is a seed, so each component has at least one. All seeds expand together, one step a
+round; where the frontiers of two seeds meet, an edge goes to the graph of seeds. That graph has at
+most half as many nodes as the graph had non-isolated ones, and is solved in the same way until no
+two seeds meet. Nothing but row counts reaches the driver. The neighbours of a node are
 salted, so that a node linked to a third of all others is expanded by several tasks.
 """
 
@@ -34,8 +34,11 @@ def components(edges: DataFrame) -> DataFrame:
     links = cut(both.withColumn("salt", F.pmod(F.xxhash64("dst"), F.lit(SALTS))))  # each level of seeds reads its own links only
     if links.isEmpty():
         return nodes.select("node", F.col("node").alias("component"))
+    own = lambda: F.struct(F.xxhash64("src").alias("h"), F.col("src").alias("n"))
     near = links.groupBy("src").agg(F.min(F.struct(F.xxhash64("dst").alias("h"), F.col("dst").alias("n"))).alias("least"))
-    seeds = near.where(F.struct(F.xxhash64("src").alias("h"), F.col("src").alias("n")) < F.col("least")).select(F.col("src").alias("node"))
+    near = near.select(F.col("src").alias("via"), F.least("least", own()).alias("least"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("s"))
+    around = links.join(near, (F.col("dst") == F.col("via")) & (F.pmod(F.xxhash64("src"), F.lit(SALTS)) == F.col("s"))).groupBy("src").agg(F.min("least").alias("least"))
+    seeds = around.where(own() == F.col("least")).select(F.col("src").alias("node"))
     known = cut(seeds.select("node", F.col("node").alias("seed")))
     frontier, meetings = known, None
     while True:
