@@ -36,11 +36,11 @@ def step(table: dict[str, tuple[tuple[str, ...], dict[tuple[str, ...], str]]], s
     return to.get(tuple(seen.get(k, "") for k in keys), state)
 
 
-def run_machine(log: DataFrame, table: dict, start: str, timeout_ms: int = 3_600_000) -> DataFrame:
+def run_machine(log: DataFrame, table: dict, start: str, timeout_ms: int | None = None) -> DataFrame:
     """``STATE_OUT`` for each row of a log (run_id, seq, obs_key, answer), in the order of seq in a batch.
 
     ``table``: state to (observation keys, {their values: next state}). The state of a run lives in
-    Spark's state store and is dropped when the run is silent for ``timeout_ms``. Rows with a seq not
+    Spark's state store and is dropped when the run is silent for ``timeout_ms``, if given. Rows with a seq not
     above the last one seen are repeats and change nothing. Works on batches too, there by one pass per run.
     """
 
@@ -73,7 +73,8 @@ def run_machine(log: DataFrame, table: dict, start: str, timeout_ms: int = 3_600
         given = [r for b in batches for r in b[cols].itertuples(index=False, name=None)]
         out, state, seen, last = advance(given, state, dict(seen or {}), last)
         kept.update((state, seen, last))
-        kept.setTimeoutDuration(timeout_ms)
+        if timeout_ms:
+            kept.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=names)
 
-    return rows.groupBy("run_id").applyInPandasWithState(stream, STATE_OUT, STATE_KEPT, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("run_id").applyInPandasWithState(stream, STATE_OUT, STATE_KEPT, "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
