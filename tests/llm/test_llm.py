@@ -204,6 +204,21 @@ def test_leaks_whole_in_pieces_and_altered(spark):
     assert leaks.leaked_documents(d.limit(0), i).count() == 0 and leaks.leaked_documents(d, i.limit(0)).count() == 0
 
 
+def test_leaks_of_descriptions_that_many_items_share(spark):
+    d = spark.createDataFrame([(1, ITEM), (2, LIKE), (3, "nothing of the kind")], "doc_id bigint, text string")
+    # Copies of one description with other questions: all are found, and the copies make no word common.
+    i = spark.createDataFrame([(k, ITEM.replace("Which", f"{k}: Which")) for k in range(40)], "item_id bigint, text string")
+    want = [(1, k) for k in range(40)]
+    assert sorted((r.doc_id, r.item_id) for r in leaks.leaked_documents(d, i).collect()) == want
+    # No word is rare, but only one description has them in this order.
+    words = [f"w{k}" for k in range(24)]
+    orders = [words[k:] + words[:k] for k in range(0, 24, 2)] + [random.Random(k).sample(words, 24) for k in range(12)]
+    i = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(orders)], "item_id bigint, text string")
+    d = spark.createDataFrame([(1, " ".join(orders[20])), (2, " ".join(orders[20][:6]))], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id) for r in leaks.leaked_documents(d, i).collect())
+    assert got == [(1, 20)] == sorted((r.doc_id, r.item_id) for r in leaks.leaked_documents(d, i, block=5).collect())
+
+
 def test_tiles_are_the_longest_first():
     a, b = "a b c d e f g h".split(), "e f g h x a b c d y b c d".split()
     at = {}
