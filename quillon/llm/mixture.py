@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from quillon.llm.spelling import plain_key
-from quillon.operators.ordered import hash_running
+from quillon.operators.ordered import hash_running, ordered_running
 from quillon.session import cut
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -91,32 +91,45 @@ def schedule(sized: DataFrame, targets: DataFrame, *, seed: int = 0) -> DataFram
     return copies.select("mix_id", F.col("name").alias("source"), "doc_id", "copy", "tokens", finish.alias("finish"), "budget")
 
 
-def mix(documents: DataFrame, targets: DataFrame, *, path: str = TOKENIZER, seed: int = 0) -> DataFrame:
-    """The documents of each mix, range-sorted by mix and finish time and truncated at the budget: those whose virtual finish time is within it.
+def served(sized: DataFrame, targets: DataFrame, *, seed: int = 0, fill: bool = False) -> DataFrame:
+    """The copies of ``schedule`` that are in the mix.
 
-    At virtual time t every source that has not run dry has given t times its share; so at
-    t = budget each has given its target.
+    Without ``fill`` those whose virtual finish time is within the budget: at virtual time t every
+    source that has not run dry has given t times its share, so at t = budget each has given its
+    target, and what dry sources lack is missing from the mix. With ``fill`` copies are served in
+    the order of their finish times until their tokens reach the budget, so the sources that last
+    make up for the others and shares that don't add up to 1 count in proportion.
     """
-    chosen = schedule(cut(sized_documents(documents, path)), targets, seed=seed).where("finish <= budget")
+    copies = schedule(sized, targets, seed=seed)
+    if not fill:
+        return copies.where("finish <= budget")
+    return ordered_running(copies, ["mix_id"], ["finish", "source", "doc_id", "copy"], "tokens", "upto").where("upto <= budget").drop("upto")
+
+
+def mix(documents: DataFrame, targets: DataFrame, *, path: str = TOKENIZER, seed: int = 0, fill: bool = False) -> DataFrame:
+    """The documents of each mix (``served``), range-sorted by mix and finish time."""
+    chosen = served(cut(sized_documents(documents, path)), targets, seed=seed, fill=fill)
     return chosen.repartitionByRange("mix_id", "finish").sortWithinPartitions("mix_id", "finish", "source", "doc_id").select("mix_id", "source", "doc_id", "copy", "tokens", "finish")
 
 
-def mix_report(documents: DataFrame, targets: DataFrame, *, path: str = TOKENIZER, seed: int = 0) -> DataFrame:
-    """(mix_id, source, target_share, target_tokens, given_tokens, reached_share, dry): per row of the targets.
+def mix_report(documents: DataFrame, targets: DataFrame, *, path: str = TOKENIZER, seed: int = 0, fill: bool = False) -> DataFrame:
+    """(mix_id, source, target_share, target_tokens, given_tokens, reached_share, dry, mix_share): per row of the targets.
 
-    ``dry``: even all copies of the source end before the mix does. Sources without documents give
-    0 tokens and are dry if anything is asked of them.
+    ``reached_share`` is the share of the budget, ``mix_share`` that of the tokens in the mix.
+    ``dry``: even all copies of the source end before its target is given. Sources without documents
+    give 0 tokens and are dry if anything is asked of them.
     """
     aims = plain_targets(targets)
     sized = cut(sized_documents(documents, path))
-    lanes = schedule(sized, targets, seed=seed)
-    last = lanes.groupBy("mix_id", F.col("source").alias("name")).agg(F.max("finish").alias("end"), F.coalesce(F.sum(F.when(F.col("finish") <= F.col("budget"), F.col("tokens"))), F.lit(0)).alias("given"))
+    last = schedule(sized, targets, seed=seed).groupBy("mix_id", F.col("source").alias("name")).agg(F.max("finish").alias("end"))
+    gave = served(sized, targets, seed=seed, fill=fill).groupBy("mix_id", F.col("source").alias("name")).agg(F.sum("tokens").alias("given"))
+    mixed = gave.groupBy("mix_id").agg(F.sum("given").alias("_mixed"))
     whole = F.broadcast(sized.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("_all")))  # one row
-    joined = aims.join(last, ["mix_id", "name"], "left").crossJoin(whole)
+    joined = aims.join(last, ["mix_id", "name"], "left").join(gave, ["mix_id", "name"], "left").join(mixed, "mix_id", "left").crossJoin(whole)
     budget = F.col("mix_ratio") * F.col("_all")
     given = F.coalesce(F.col("given"), F.lit(0))
     dry = (F.col("share") * budget > 0) & F.coalesce(F.col("end") < budget, F.lit(True))
-    return joined.select("mix_id", F.col("name").alias("source"), F.col("share").alias("target_share"), (F.col("share") * budget).alias("target_tokens"), given.alias("given_tokens"), F.when(budget > 0, given / budget).alias("reached_share"), dry.alias("dry"))
+    return joined.select("mix_id", F.col("name").alias("source"), F.col("share").alias("target_share"), (F.col("share") * budget).alias("target_tokens"), given.alias("given_tokens"), F.when(budget > 0, given / budget).alias("reached_share"), dry.alias("dry"), (given / F.col("_mixed")).alias("mix_share"))
 
 
 def dry_sources(documents: DataFrame, targets: DataFrame, *, path: str = TOKENIZER) -> DataFrame:

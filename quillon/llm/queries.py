@@ -51,11 +51,11 @@ def _p8_found(spark, d):
 
 
 def _p8_mix(spark, d):
-    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), fill=True)
 
 
 def _p8_report(spark, d):
-    return mixture.mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixture.mix_report(table(spark, d, "documents"), table(spark, d, "mix_targets"), fill=True)
 
 
 def _p3_found(spark, d):

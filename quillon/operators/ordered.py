@@ -85,3 +85,19 @@ def dense_position(df: DataFrame, order: list[str], name: str = "pos", partition
     start = F.element_at(F.array(*[F.lit(s).cast("bigint") for s in starts] or [F.lit(0).cast("bigint")]), F.col("_pid") + 1)
     low = F.col("_seq").bitwiseAND(F.lit((1 << 33) - 1))
     return sorted_rows.withColumn(name, start + low).drop("_pid", "_seq")
+
+
+def ordered_running(df: DataFrame, group: list[str], order: list[str], value: str, name: str, partitions: int | None = None) -> DataFrame:
+    """Adds ``name``, the inclusive running sum of ``value`` over the rows of each group in the order of the columns ``order``.
+
+    Rows are range-partitioned by group and order, summed within each partition and shifted by the
+    sums of the partitions before. ``order`` must be total within a group and groups not null.
+    """
+    n = partitions or shuffle_width(df.sparkSession)
+    placed = cut(df.repartitionByRange(n, *group, *order).withColumn("_pid", F.spark_partition_id()))
+    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*group, "_pid").agg(F.sum(value).alias("_s"))
+    offsets = sums.select(*group, "_pid", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"))
+    within = Window.partitionBy(*group, "_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = placed.withColumn(name, F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return inner.join(offsets, [*group, "_pid"]).withColumn(name, F.col(name) + F.coalesce("_s0", F.lit(0))).drop("_pid", "_s0")

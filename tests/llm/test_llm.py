@@ -247,6 +247,18 @@ def test_mix_gives_targets_and_names_dry_sources(spark):
     assert mixture.mix(d.limit(0), targets).count() == 0 and mixture.dry_sources(d, targets.limit(0)).count() == 0
 
 
+def test_filled_mix_reaches_its_budget(spark):
+    text = "the quick brown fox jumps over the lazy dog " * 4
+    d = docs(spark, [(k, "big", text) for k in range(200)] + [(500 + k, "small", text) for k in range(10)])
+    targets = spark.createDataFrame([(1, "big", 0.6, 1, 0.8), (1, "small", 0.4, 3, 0.8), (2, "big", 0.9, 1, 0.5), (2, "small", 0.6, 9, 0.5), (3, "small", 1.0, 2, 1.0)], "mix_id int, source string, target_share double, max_repeats int, mix_ratio double")
+    got = mixture.mix(d, targets, fill=True).toPandas()
+    assert got[got.mix_id == 1].source.value_counts().to_dict() == {"big": 138, "small": 30}  # 168 copies in all
+    assert len(got[got.mix_id == 2]) == 105 and len(got[got.mix_id == 3]) == 20
+    rep = {(r.mix_id, r.source): r for r in mixture.mix_report(d, targets, fill=True).collect()}
+    assert abs(rep[1, "big"].mix_share - 138 / 168) < 1e-9 and rep[1, "small"].dry and rep[3, "small"].mix_share == 1.0
+    assert mixture.mix(d.limit(0), targets, fill=True).count() == 0
+
+
 def test_pieces_of_long_texts_join_again():
     for text in ("", "a" * 120_000, ("word " * 30_000), "\n".join(["line"] * 40_000)):
         parts = list(mixture.pieces(text))
