@@ -25,10 +25,8 @@ from quillon.session import cut
 
 #: A reply breaks off if at most this share as many replies end there as go on in the same way.
 ENDING_SHARE = 0.25
-#: A way to go on counts if at least so many replies have it.
+#: A beginning counts if at least so many replies go on from it, whatever their forms.
 SUPPORT = 3
-#: Endings of longer replies are judged by the reply alone.
-LONGEST_FORM = 2_000
 #: Share of the question's words that a reply must repeat to be a copy, and the share of its own words that may differ.
 COPIED, DIFFERENT = 0.6, 0.12
 #: Shortest run of words that counts as copied.
@@ -271,21 +269,23 @@ def form(text: Column) -> Column:
 def early_endings(replies: DataFrame) -> DataFrame:
     """(form): the forms of ``replies`` (text) at which a reply breaks off, as others go on.
 
-    Counts all replies by form; the beginnings of every form with at least ``SUPPORT`` replies are
-    hashed and summed, so that nothing depends on how often one form occurs.
+    Counts all replies by form. The beginnings of every form, of whatever length, are hashed and
+    summed where a form without an end mark has that length, so that nothing depends on how often
+    one form occurs.
     """
     forms = cut(replies.where("text is not null").select(form(F.col("text")).alias("form")).groupBy("form").agg(F.count(F.lit(1)).alias("n")))
-    long = forms.where((F.col("n") >= SUPPORT) & (F.length("form") <= LONGEST_FORM) & (F.length("form") > 1))
-    begin = long.select("form", "n", F.explode(F.sequence(F.lit(1), F.length("form") - 1)).alias("i"))
+    closed = F.col("form").rlike(r"[.!?\"}\])]$")
+    ends = forms.where(~closed & (F.length("form") > 0)).withColumn("i", F.length("form"))
+    lengths = F.broadcast(ends.agg(F.collect_set("i").alias("lengths")))  # one row
+    begin = forms.crossJoin(lengths).select("form", "n", F.explode(F.filter("lengths", lambda i: i < F.length("form"))).alias("i"))
     rest = F.substring("form", F.col("i") + 1, F.length("form"))
     begin = begin.where(rest.rlike(r"[\p{L}\p{Nd}]"))
     glued = F.regexp_like(rest, F.lit(r"^[\p{L}\p{Nd}-]"))
-    sums = begin.groupBy(F.xxhash64(F.substring("form", F.lit(1), F.col("i"))).alias("h"), glued.alias("glued")).agg(F.sum("n").alias("n"))
-    per = sums.groupBy("h").agg(F.sum("n").alias("all"), F.coalesce(F.sum(F.when(~F.col("glued"), F.col("n"))), F.lit(0)).alias("apart"))
+    sums = begin.groupBy("i", F.xxhash64(F.substring("form", F.lit(1), F.col("i"))).alias("h"), glued.alias("glued")).agg(F.sum("n").alias("n"))
+    per = sums.groupBy("i", "h").agg(F.sum("n").alias("all"), F.coalesce(F.sum(F.when(~F.col("glued"), F.col("n"))), F.lit(0)).alias("apart")).where(F.col("all") >= SUPPORT)
     last = F.lower(F.regexp_extract("form", r"([\p{L}]+)$", 1))
-    closed = F.col("form").rlike(r"[.!?\"}\])]$")
     goes_on = F.when(last.isin(*sorted(WHOLE)) | (F.col("form").rlike(r"\d$")), F.col("apart")).otherwise(F.col("all"))
-    return forms.where(~closed).withColumn("h", F.xxhash64("form")).join(per, "h").where(F.col("n") <= goes_on * ENDING_SHARE).select("form")
+    return ends.withColumn("h", F.xxhash64("form")).join(per, ["i", "h"]).where(F.col("n") <= goes_on * ENDING_SHARE).select("form")
 
 
 def judged(question: Column, reply: Column, ends_early: Column) -> Column:

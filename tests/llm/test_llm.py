@@ -139,6 +139,13 @@ def test_replies_that_others_go_on_from(spark):
     assert replies.broken_replies(p.limit(0)).count() == 0
 
 
+def test_long_and_single_replies_that_others_go_on_from(spark):
+    whole = " ".join(f"stone{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(400)) + "."
+    texts = [whole] * 8 + [whole[:2300], "The kiosk stands beside"] + [f"The kiosk stands beside {w}." for w in "Ostwick Dunhurst Randbury Verwick Brimvale".split()]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r.form for r in replies.early_endings(df).collect()} == {whole[:2300], "The kiosk stands beside"}
+
+
 # Frequencies.
 
 
