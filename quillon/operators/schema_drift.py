@@ -3,8 +3,8 @@
 Rescue-column ingestion: every top-level field of a file that maps to a field of the target schema
 and can be cast goes into its typed column; every other field, and every value that can't be cast,
 is kept as JSON in ``rescued``. ``promote`` adds approved fields to the target and replays the
-rescued values of files read earlier into the new typed columns. ``changes`` compares each file with
-the one before it in its series.
+rescued values of files read earlier into the new typed columns. ``changes`` compares the fields of
+each ingested file with those of the one before it in its series.
 
 Names are matched by measure: camel and snake case, word order and the shortenings listed under
 ``ALIASES`` name the same measure.
@@ -142,13 +142,14 @@ def cast_to(kind: str, text: Column, inner: Column) -> Column:
     return F.when(F.lit(kind == "string"), text)
 
 
-def ingest(files: DataFrame, schema: Mapping[str, str] = REPORT_SCHEMA) -> DataFrame:
+def ingest(files: DataFrame, schema: Mapping[str, str] = REPORT_SCHEMA, *, trace: bool = False) -> DataFrame:
     """One row per file_id: file_id, series_id, written_at, the typed columns of ``schema``, ``rescued`` STRING.
 
     ``rescued`` is a JSON object of all unknown fields and of the uncastable ones under their own
     names, null where there are none; a payload that is no JSON object is kept whole under
     ``_payload``. If two fields of a file name one measure, the first by name fills the column and
-    the others are rescued.
+    the others are rescued. ``trace`` adds ``fields``, an array of (measure, field, kind) of all
+    fields that went into typed columns or ``rescued``; null if the payload is no JSON object.
     """
     last = latest_files(files)
     fields = fields_of(last)
@@ -163,15 +164,19 @@ def ingest(files: DataFrame, schema: Mapping[str, str] = REPORT_SCHEMA) -> DataF
     used = {m: F.min(F.when(F.col(f"_{m}").isNotNull(), F.col("field"))) for m in schema}
     rest = F.map_from_entries(F.array_sort(F.collect_list(F.when(~F.col("_fits"), F.struct("field", "text")))))
     spare = F.collect_list(F.when(F.col("_fits") & ~void, F.struct("field", "text")))
-    wide = rows.groupBy("file_id").agg(*[e.alias(m) for m, e in first.items()], *[e.alias(f"_used_{m}") for m, e in used.items()], rest.alias("_rest"), spare.alias("_spare"))
+    wide = rows.groupBy("file_id").agg(*[e.alias(m) for m, e in first.items()], *[e.alias(f"_used_{m}") for m, e in used.items()], rest.alias("_rest"), spare.alias("_spare"), F.collect_list(F.struct("measure", "field", "kind")).alias("fields"))
     taken = F.array(*[F.col(f"_used_{m}") for m in schema]) if schema else F.array()
     extra = F.filter("_spare", lambda x: ~F.coalesce(F.array_contains(F.array_compact(taken), x["field"]), F.lit(False)))
     rescued = F.map_concat(F.col("_rest"), F.map_from_entries(extra))
-    wide = wide.select("file_id", *schema, F.when(F.size(rescued) > 0, F.to_json(rescued, {"ignoreNullFields": "false"})).alias("rescued"))
+    wide = wide.select("file_id", *schema, F.when(F.size(rescued) > 0, F.to_json(rescued, {"ignoreNullFields": "false"})).alias("rescued"), "fields")
     out = last.select("file_id", "series_id", "written_at", "payload").join(wide, "file_id", "left")
     whole = F.try_parse_json("payload").isNull() | ~F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT"), F.lit(False))
     keep = F.when(whole & F.col("payload").isNotNull(), F.to_json(F.create_map(F.lit("_payload"), F.col("payload")))).otherwise(F.col("rescued"))
-    return out.withColumn("rescued", keep).drop("payload")
+    out = out.withColumn("rescued", keep)
+    if not trace:
+        return out.drop("payload", "fields")
+    none = F.array().cast("array<struct<measure:string,field:string,kind:string>>")
+    return out.withColumn("fields", F.when(~whole & F.col("payload").isNotNull(), F.coalesce("fields", none))).drop("payload")
 
 
 def _names(measure: str):
@@ -202,32 +207,47 @@ def changes(files: DataFrame) -> DataFrame:
     without a JSON object have none and are skipped as predecessors. Work is by file position, never by series, so
     a series holding a third of all files is spread like any other.
     """
-    last = latest_files(files).where("series_id is not null")
-    fields = fields_of(last)
-    fields = cut(fields.groupBy("file_id", "measure").agg(F.min("field").alias("field"), F.min_by("kind", "field").alias("kind")))
-    readable = last.where(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT")).select("file_id", "series_id", "written_at")
+    return table_changes(ingest(files, trace=True))
+
+
+def table_changes(table: DataFrame) -> DataFrame:
+    """``changes`` from a table of ``ingest`` with its ``fields``.
+
+    If files hold several fields of one measure, fields of equal name go together, and what is left
+    of both files is paired in the order of names.
+    """
+    readable = cut(table.where("series_id is not null and fields is not null").select("file_id", "series_id", "written_at", "fields"))
+    each = readable.select("file_id", F.explode("fields").alias("f")).select("file_id", "f.measure", F.struct("f.field", "f.kind").alias("state"))
+    fields = cut(each.groupBy("file_id", "measure").agg(F.sort_array(F.collect_set("state")).alias("states")))
     placed = dense_position(readable, ["series_id", "written_at", "file_id"])
     at = placed.select("file_id", "series_id", "pos")
     before = at.select((F.col("pos") + 1).alias("pos"), F.col("series_id").alias("series_before"), F.col("file_id").alias("file_before"))
     linked = cut(at.join(before, "pos", "left").select("file_id", "pos", F.when(F.col("series_before") == F.col("series_id"), F.col("file_before")).alias("file_before")))
-    now = fields.join(linked.where("file_before is not null"), "file_id")
-    old = fields.select(F.col("file_id").alias("file_before"), "measure", F.col("field").alias("field_before"), F.col("kind").alias("kind_before"))
-    here = cut(now.join(old, ["file_before", "measure"], "left"))
+    linked = linked.where("file_before is not null").drop("pos")
+    now = fields.join(linked, "file_id").withColumnRenamed("states", "now")
+    old = fields.select(F.col("file_id").alias("file_before"), "measure", F.col("states").alias("old")).join(linked, "file_before")
+    none = F.array().cast("array<struct<field:string,kind:string>>")
+    both = now.join(old, ["file_id", "file_before", "measure"], "full").withColumn("now", F.coalesce("now", none)).withColumn("old", F.coalesce("old", none))
+    both = both.withColumn("new", F.array_except("now.field", "old.field")).withColumn("gone", F.filter("old", lambda x: ~F.array_contains(F.col("now.field"), x["field"])))
+    same = lambda x: F.try_element_at(F.filter("old", lambda o: o["field"] == x["field"]), F.lit(1))
+    paired = lambda x: F.try_element_at("gone", F.greatest(F.array_position("new", x["field"]).cast("int"), F.lit(1)))
+    before_of = lambda x: F.when(F.array_contains("new", x["field"]), paired(x)).otherwise(same(x))
+    pairs = both.select("file_id", "file_before", F.explode(F.transform("now", lambda x: F.struct(x.alias("now"), before_of(x).alias("old")))).alias("p"))
+    here = cut(pairs.select("file_id", "file_before", "p.now.field", "p.now.kind", F.col("p.old.field").alias("field_before"), F.col("p.old.kind").alias("kind_before")))
     added = here.where("field_before is null").select("file_id", "field", F.lit("added").alias("change"))
     renamed = here.where("field_before <> field").select("file_id", "field", F.lit("renamed").alias("change"))
-    gone = old.join(linked.where("file_before is not null"), "file_before").join(fields.select("file_id", "measure"), ["file_id", "measure"], "left_anti")
-    removed = gone.select("file_id", F.col("field_before").alias("field"), F.lit("removed").alias("change"))
+    removed = both.select("file_id", F.explode(F.slice("gone", F.size("new") + 1, F.size("gone") + 1)).alias("x")).select("file_id", "x.field", F.lit("removed").alias("change"))
     # The type before: of the preceding file, or while that is null, of the file before it, and so on.
     known = here.where("kind <> 'null' and kind_before <> 'null'").select("file_id", "field", "kind", F.col("kind_before").alias("past"))
-    open_rows = here.where("kind <> 'null' and kind_before = 'null'").select("file_id", "field", "kind", "measure", F.col("file_before").alias("at"))
-    step = here.select(F.col("file_id").alias("at"), "measure", F.col("file_before").alias("next"), F.col("kind_before").alias("kind_next")).where("kind_next is not null")
+    open_rows = here.where("kind <> 'null' and kind_before = 'null'").select("file_id", "field", "kind", F.col("file_before").alias("at"), F.col("field_before").alias("name"))
+    step = here.where("kind_before is not null").select(F.col("file_id").alias("at"), F.col("field").alias("name"), F.col("file_before").alias("next"), F.col("field_before").alias("name_next"), F.col("kind_before").alias("kind_next"))
     open_rows = cut(open_rows)
     while not open_rows.isEmpty():
-        moved = cut(open_rows.join(step, ["at", "measure"]).select("file_id", "field", "kind", "measure", F.col("next").alias("at"), F.col("kind_next")))
+        moved = cut(open_rows.join(step, ["at", "name"]).select("file_id", "field", "kind", F.col("next").alias("at"), F.col("name_next").alias("name"), "kind_next"))
         known = known.unionByName(moved.where("kind_next <> 'null'").select("file_id", "field", "kind", F.col("kind_next").alias("past")))
         open_rows = moved.where("kind_next = 'null'").drop("kind_next")
-        further = step.select(F.col("at").alias("next"), "measure", F.col("next").alias("next2"), F.col("kind_next").alias("kind2"))
-        leap = step.where("kind_next = 'null'").join(further, ["next", "measure"]).select("at", "measure", F.col("next2").alias("next"), F.col("kind2").alias("kind_next"))
+        further = step.select(F.col("at").alias("next"), F.col("name").alias("name_next"), F.col("next").alias("next2"), F.col("name_next").alias("name2"), F.col("kind_next").alias("kind2"))
+        leap = step.where("kind_next = 'null'").join(further, ["next", "name_next"]).select("at", "name", F.col("next2").alias("next"), F.col("name2").alias("name_next"), F.col("kind2").alias("kind_next"))
         step = cut(step.where("kind_next <> 'null'").unionByName(leap))
     typed = known.where("kind <> past").select("file_id", "field", F.lit("type_changed").alias("change"))
     return added.unionByName(removed).unionByName(renamed).unionByName(typed).distinct()
