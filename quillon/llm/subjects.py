@@ -40,6 +40,20 @@ _LEXICON: dict[str, list[str]] = {}
 for _area, _words in AREA_WORDS.items():
     for _w in dict.fromkeys(_words.split()):
         _LEXICON.setdefault(_w, []).append(_area)
+#: Most areas; the model has CELLS numbers for each.
+MOST_AREAS = 1000
+# Longer words of descriptions that tell nothing.
+_COMMON = set("about after also among before between from have here into other over such than that their them then there these they this those through under very what when where which while with without".split())
+
+
+def lexicon_of(areas: dict[str, str | None]) -> dict[str, list[str]]:
+    """The lexicon, with the words of the description (of 4 letters or more) and name for each area that it doesn't have."""
+    out = {w: list(a) for w, a in _LEXICON.items()}
+    for area in sorted(areas.keys() - AREA_WORDS.keys()):
+        for w in dict.fromkeys(words_of(f"{areas[area] or ''} {area.replace('_', ' ')}")):
+            if len(w) >= 4 and w not in _COMMON:
+                out.setdefault(w, []).append(area)
+    return out
 
 
 def sentences(text: str) -> list[str]:
@@ -65,11 +79,11 @@ def words_of(sentence: str) -> list[str]:
     return _WORD.findall(sentence.lower().replace("’", "'"))
 
 
-def lexicon_vote(words: list[str]) -> str | None:
+def lexicon_vote(words: list[str], lexicon: dict[str, list[str]] = _LEXICON) -> str | None:
     """The area whose words lead in a sentence, None without a clear lead."""
     got: Counter[str] = Counter()
     for w in set(words):
-        areas = _LEXICON.get(w, ())
+        areas = lexicon.get(w, ())
         for a in areas:
             got[a] += 1 / len(areas)
     top = got.most_common(2)
@@ -86,14 +100,14 @@ def cell(word: str) -> int:
     return (h ^ h >> 16) % CELLS
 
 
-def term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def term_counts(batches: Iterator[pd.DataFrame], lexicon: dict[str, list[str]] = _LEXICON) -> Iterator[pd.DataFrame]:
     """(text) to (cell, area, n): how many sentences of each area, by the lexicon, have each cell's terms; '' is no area."""
     sums: Counter[tuple[int, str]] = Counter()
     for batch in batches:
         for text in batch.text:
             for s in sentences(text):
                 words = words_of(s)
-                area = lexicon_vote(words) or ""
+                area = lexicon_vote(words, lexicon) or ""
                 sums.update((cell(w), area) for w in set(words))
                 sums[(-1, area)] += 1
     yield pd.DataFrame([(c, a, n) for (c, a), n in sums.items()], columns=["cell", "area", "n"])
@@ -134,10 +148,10 @@ class TermModel:
         return self.areas[order[0]] or None if odds[order[0]] - odds[order[1]] >= ODDS else None
 
 
-def evidence(text: str, model: TermModel) -> dict[str, tuple[int, int, int]]:
+def evidence(text: str, model: TermModel, lexicon: dict[str, list[str]] = _LEXICON) -> dict[str, tuple[int, int, int]]:
     """Area to the votes (1, 0 or -1) of lexicon, model and section."""
     said = [words_of(s) for s in sentences(text)]
-    by_words = [lexicon_vote(w) for w in said]
+    by_words = [lexicon_vote(w, lexicon) for w in said]
     by_model = [model.vote(w) for w in said]
     out = {}
     counts = [Counter(v for v in votes if v) for votes in (by_words, by_model)]
@@ -184,14 +198,19 @@ def posteriors(documents: DataFrame, areas: DataFrame) -> DataFrame:
     """(doc_id, subject_area, probability) of each area that any sentence of a document speaks for.
 
     Null and blank texts give no rows; repeated doc_ids keep the text collected last. Only areas of
-    ``areas`` (subject_area) are used; all statistics are over the whole corpus.
+    ``areas`` (subject_area, description) are used; all statistics are over the whole corpus. More
+    than MOST_AREAS areas are an error.
     """
     spark = documents.sparkSession
-    names = sorted(r.subject_area for r in areas.where("subject_area is not null").select("subject_area").distinct().limit(1000).collect())
+    listed = areas.where("subject_area is not null").groupBy("subject_area").agg(F.max("description").alias("description")).limit(MOST_AREAS + 1).collect()
+    if len(listed) > MOST_AREAS:
+        raise ValueError(f"more than {MOST_AREAS} subject areas")
+    names = sorted(r.subject_area for r in listed)
+    lexicon = lexicon_of({r.subject_area: r.description for r in listed})
     last = F.max_by(F.struct("text", "source"), F.struct("collected_at", "text"))
     one = documents.where("doc_id is not null").groupBy("doc_id").agg(last.alias("r")).select("doc_id", F.col("r.text").alias("text"), plain_key(F.col("r.source")).alias("source"))
     one = spread(cut(one.where("trim(text) <> ''")), "doc_id")
-    counts = one.select("text").mapInPandas(term_counts, "cell int, area string, n bigint").groupBy("cell", "area").agg(F.sum("n").alias("n"))
+    counts = one.select("text").mapInPandas(lambda batches: term_counts(batches, lexicon), "cell int, area string, n bigint").groupBy("cell", "area").agg(F.sum("n").alias("n"))
     # At most CELLS times the number of areas rows.
     rows = [(r.cell, r.area, r.n) for r in counts.collect() if r.area in names or r.area == ""]
     held = spark.sparkContext.broadcast((rows, names))
@@ -200,7 +219,7 @@ def posteriors(documents: DataFrame, areas: DataFrame) -> DataFrame:
         model = TermModel(*held.value)
         known = set(held.value[1])
         for batch in batches:
-            out = [(d, s, a, *v) for d, s, t in zip(batch.doc_id, batch.source, batch.text) for a, v in evidence(t, model).items() if a in known]
+            out = [(d, s, a, *v) for d, s, t in zip(batch.doc_id, batch.source, batch.text) for a, v in evidence(t, model, lexicon).items() if a in known]
             yield pd.DataFrame(out, columns=["doc_id", "source", "subject_area", "lexicon", "model", "section"])
 
     votes = cut(one.select("doc_id", "source", "text").mapInPandas(judge, "doc_id bigint, source string, subject_area string, lexicon int, model int, section int"))

@@ -290,6 +290,16 @@ def test_subjects_of_documents(spark):
     assert subjects.assigned_subjects(d.limit(0), areas).count() == 0
 
 
+def test_areas_without_fixed_words_are_known_by_their_description(spark):
+    bees = "The beekeeper checked the hives before noon. Honey from both hives was sold by the beekeeper. "
+    d = docs(spark, [(k, "a", CARE) for k in range(30)] + [(100 + k, "b", bees) for k in range(30)])
+    areas = spark.createDataFrame([("animal_care", "x"), ("apiary", "Beekeeper and hives, honey")], "subject_area string, description string")
+    got = {(r.doc_id, r.subject_area) for r in subjects.assigned_subjects(d, areas).collect()}
+    assert got == {(k, "animal_care") for k in range(30)} | {(100 + k, "apiary") for k in range(30)}
+    with pytest.raises(ValueError):
+        subjects.assigned_subjects(d, spark.range(1001).selectExpr("'a' || id as subject_area", "'x' as description"))
+
+
 def test_wrapped_lines_and_stamps_are_single_sentences():
     assert subjects.sentences("> black, the bridge\n> stands here. Next\n> one.\n\n- item one\n* item two\n[08:28] Stamped.") == ["black, the bridge stands here.", "Next one.", "item one", "item two", "Stamped."]
 
