@@ -5,7 +5,7 @@ range is cut into buckets; each bucket is ranked by itself and shifted by the to
 before it, so that a group holding a third of all rows is worked on by many tasks.
 
 ``dense_position`` numbers all rows in a given order by a range sort and the row counts of the
-sorted partitions (one number per partition goes to the driver).
+sorted partitions (a table of one row per partition).
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from quillon.session import cut, shuffle_width
 
 HASH_BITS = 32
+#: Buckets of a group: a group of 10 thousand million rows has some 2.4 million in each.
+BUCKETS = 4096
 
 
 def unit_hash(*cols: Column | str, seed: int = 0) -> Column:
@@ -31,7 +33,7 @@ def hash_running(
     value: str | None = None,
     *,
     seed: int = 0,
-    buckets: int = 64,
+    buckets: int = BUCKETS,
     rank: str = "rank",
     total: str | None = None,
 ) -> DataFrame:
@@ -77,14 +79,11 @@ def dense_position(df: DataFrame, order: list[str], name: str = "pos", partition
     """
     n = partitions or shuffle_width(df.sparkSession)
     sorted_rows = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id()))
-    counts = {r["_pid"]: r["n"] for r in sorted_rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}
-    starts, at = [], 0
-    for pid in range(max(counts, default=-1) + 1):
-        starts.append(at)
-        at += counts.get(pid, 0)
-    start = F.element_at(F.array(*[F.lit(s).cast("bigint") for s in starts] or [F.lit(0).cast("bigint")]), F.col("_pid") + 1)
+    counts = sorted_rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.broadcast(counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))  # one row per partition
     low = F.col("_seq").bitwiseAND(F.lit((1 << 33) - 1))
-    return sorted_rows.withColumn(name, start + low).drop("_pid", "_seq")
+    return sorted_rows.join(starts, "_pid").withColumn(name, F.col("_start") + low).drop("_pid", "_seq", "_start")
 
 
 def ordered_running(df: DataFrame, group: list[str], order: list[str], value: str, name: str, partitions: int | None = None) -> DataFrame:
