@@ -2,8 +2,12 @@
 
 Weighted fair queueing: the documents of a source are shuffled by hash and laid end to end, over and
 over up to the allowed repeats. A document's virtual finish time is the tokens of its source up to
-and including it divided by the source's target weight; documents are served in the order of their
-finish times until the mix is full. A source whose last finish time lies before the end runs dry.
+and including it divided by the source's target weight. All copies are range-sorted by finish time
+and the mix ends where their tokens, summed in that order, reach the total budget. A source whose
+last finish time lies before the budget runs dry; what it lacks the others give in proportion.
+
+Copies that can't get into the mix are never made: the virtual time at which the mix is full is
+bounded beforehand from the sizes of the sources alone (``lanes``).
 """
 
 from __future__ import annotations
@@ -11,18 +15,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from quillon.llm.spelling import plain_key
+from quillon.operators.joins import bounded_join
 from quillon.operators.ordered import hash_running, ordered_running
 from quillon.session import cut
 
+#: The session setting that names the vocabulary file, which every executor must have at that path.
+SETTING = "spark.quillon.tokenizer"
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts are tokenized in pieces of at most about so many characters, cut at a line break or blank, so that a very long text takes linear time.
-PIECE = 50_000
 _ENCODINGS: dict = {}
 
 
@@ -39,30 +44,21 @@ def encoding(path: str):
     return _ENCODINGS[path]
 
 
-def pieces(text: str) -> Iterator[str]:
-    """``text`` in parts that begin with white space, or after ``PIECE`` characters without any."""
-    at = 0
-    while len(text) - at > PIECE:
-        end = next((i for i in (text.rfind("\n", at + 1, at + PIECE), text.rfind(" ", at + 1, at + PIECE)) if i > at), at + PIECE)
-        yield text[at:end]
-        at = end
-    yield text[at:]
-
-
 def token_counts(path: str = TOKENIZER):
-    """A Pandas UDF: tokens of a text, 0 for null."""
+    """A Pandas UDF: tokens of a whole text, 0 for null."""
 
     @F.pandas_udf(LongType())
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         code = encoding(path)
         for batch in texts:
-            yield pd.Series([0 if t is None else sum(len(code.encode_ordinary(p)) for p in pieces(t)) for t in batch], dtype="int64")
+            yield pd.Series([0 if t is None else len(code.encode_ordinary(t)) for t in batch], dtype="int64")
 
     return count
 
 
-def sized_documents(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
+def sized_documents(documents: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, source, tokens): each distinct doc_id once (the row collected last), source as its plain key."""
+    path = path or documents.sparkSession.conf.get(SETTING, TOKENIZER)
     last = F.max_by(F.struct("source", "text"), F.struct("collected_at", "source"))
     one = documents.where("doc_id is not null").groupBy("doc_id").agg(last.alias("r"))
     return one.select("doc_id", plain_key(F.col("r.source")).alias("source"), token_counts(path)(F.col("r.text")).alias("tokens"))
@@ -75,63 +71,73 @@ def plain_targets(targets: DataFrame) -> DataFrame:
     return rows.groupBy("mix_id", "source").agg(F.min("name").alias("name"), zero("target_share").alias("share"), zero("max_repeats").alias("repeats"), zero("mix_ratio").alias("mix_ratio"))
 
 
-def schedule(sized: DataFrame, targets: DataFrame, *, seed: int = 0) -> DataFrame:
-    """From ``sized_documents``: (mix_id, source, doc_id, copy, tokens, finish, budget): every copy that may be used, with its virtual finish time.
+def lanes(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """(mix_id, source, name, share, repeats, budget, size, end, stop) of every mix and source with documents and a share.
 
-    ``budget`` is the size of the mix in tokens. Documents of sources without a target, and of a
-    null source, count towards the size of the corpus only.
+    ``budget`` is the size of the mix in tokens, ``size`` that of the source, ``end`` the virtual finish
+    time of its last allowed copy. ``stop`` is a virtual time before which the mix is full: there every
+    source, less one document for the copy that is cut, has given its share or all it may give, and
+    that is the budget. As sources go dry in the order of ``end``, it lies between two of these.
+    Documents of sources without a target, and of a null source, count towards the corpus only.
     """
-    aims = plain_targets(targets)
     whole = F.broadcast(sized.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("_all")))  # one row
-    totals = sized.where("source is not null").groupBy("source").agg(F.sum("tokens").alias("_size"))
-    lanes = aims.join(totals, "source").crossJoin(whole).withColumn("budget", F.col("mix_ratio") * F.col("_all")).where("share > 0")
+    totals = sized.where("source is not null and tokens > 0").groupBy("source").agg(F.sum("tokens").alias("size"), F.max("tokens").alias("_longest"))
+    rows = plain_targets(targets).where("share > 0 and repeats > 0").join(totals, "source").crossJoin(whole)
+    rows = rows.withColumn("budget", F.col("mix_ratio") * F.col("_all")).withColumn("end", F.col("repeats") * F.col("size") / F.col("share"))
+    mix, order = Window.partitionBy("mix_id"), Window.partitionBy("mix_id").orderBy("end", "source")  # rows of the targets, not of the corpus
+    asked = F.col("budget") + F.sum("_longest").over(mix)
+    dry = F.coalesce(F.sum(F.col("repeats") * F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wet = F.sum("share").over(order.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumn("_at", (asked - dry) / wet)
+    stop = F.min(F.when(F.col("_at") <= F.col("end"), F.struct("end", "source", "_at"))).over(mix)["_at"]
+    return rows.withColumn("stop", F.coalesce(stop, F.max("end").over(mix))).select("mix_id", "source", "name", "share", "repeats", "budget", "size", "end", "stop")
+
+
+def schedule(sized: DataFrame, lane: DataFrame, *, seed: int = 0) -> DataFrame:
+    """From ``sized_documents`` and ``lanes``: (mix_id, source, doc_id, copy, tokens, finish, budget) of every copy that finishes by ``stop``."""
     laid = hash_running(sized.where("source is not null and tokens > 0"), ["source"], ["doc_id"], "tokens", seed=seed, total="upto").drop("rank")
-    copies = laid.join(lanes, "source").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).where("repeats > 0")
-    finish = ((F.col("copy") - 1) * F.col("_size") + F.col("upto")) / F.col("share")
+    # (copy - 1) * size + upto <= share * stop, and copy <= repeats.
+    most = F.least(F.col("repeats"), F.floor((F.col("share") * F.col("stop") - F.col("upto")) / F.col("size")) + 1).cast("int")
+    copies = bounded_join(laid, lane, ["source"]).withColumn("_most", most).where("_most > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_most"))))
+    finish = ((F.col("copy") - 1) * F.col("size") + F.col("upto")) / F.col("share")
     return copies.select("mix_id", F.col("name").alias("source"), "doc_id", "copy", "tokens", finish.alias("finish"), "budget")
 
 
-def served(sized: DataFrame, targets: DataFrame, *, seed: int = 0, fill: bool = False) -> DataFrame:
-    """The copies of ``schedule`` that are in the mix.
-
-    Without ``fill`` those whose virtual finish time is within the budget: at virtual time t every
-    source that has not run dry has given t times its share, so at t = budget each has given its
-    target, and what dry sources lack is missing from the mix. With ``fill`` copies are served in
-    the order of their finish times until their tokens reach the budget, so the sources that last
-    make up for the others and shares that don't add up to 1 count in proportion.
-    """
-    copies = schedule(sized, targets, seed=seed)
-    if not fill:
-        return copies.where("finish <= budget")
+def served(sized: DataFrame, lane: DataFrame, *, seed: int = 0) -> DataFrame:
+    """The copies in the mix: in the order of their finish times, as long as their tokens are within the budget."""
+    copies = schedule(sized, lane, seed=seed)
     return ordered_running(copies, ["mix_id"], ["finish", "source", "doc_id", "copy"], "tokens", "upto").where("upto <= budget").drop("upto")
 
 
-def mix(documents: DataFrame, targets: DataFrame, *, path: str = TOKENIZER, seed: int = 0, fill: bool = False) -> DataFrame:
-    """The documents of each mix (``served``), range-sorted by mix and finish time."""
-    chosen = served(cut(sized_documents(documents, path)), targets, seed=seed, fill=fill)
-    return chosen.repartitionByRange("mix_id", "finish").sortWithinPartitions("mix_id", "finish", "source", "doc_id").select("mix_id", "source", "doc_id", "copy", "tokens", "finish")
+def mix(documents: DataFrame, targets: DataFrame, *, path: str | None = None, seed: int = 0) -> DataFrame:
+    """(mix_id, source, doc_id, copy, tokens, finish): the copies of each mix, source as written in the targets.
+
+    Each mix holds as many tokens as fit into its budget or as its sources may give. Shares that don't
+    add up to 1 count in proportion. Null and empty texts are never drawn; repeated doc_ids count once.
+    """
+    sized = cut(sized_documents(documents, path))
+    return served(sized, cut(lanes(sized, targets)), seed=seed).select("mix_id", "source", "doc_id", "copy", "tokens", "finish")
 
 
-def mix_report(documents: DataFrame, targets: DataFrame, *, path: str = TOKENIZER, seed: int = 0, fill: bool = False) -> DataFrame:
-    """(mix_id, source, target_share, target_tokens, given_tokens, reached_share, dry, mix_share): per row of the targets.
+def mix_report(documents: DataFrame, targets: DataFrame, *, path: str | None = None, seed: int = 0) -> DataFrame:
+    """(mix_id, source, target_share, target_tokens, given_tokens, reached_share, dry): per row of the targets.
 
-    ``reached_share`` is the share of the budget, ``mix_share`` that of the tokens in the mix.
-    ``dry``: even all copies of the source end before its target is given. Sources without documents
-    give 0 tokens and are dry if anything is asked of them.
+    ``reached_share`` is the share of the tokens in the mix, null for an empty mix. ``dry``: the last
+    virtual finish time of the source is before the budget, so even all copies end before its target
+    is given. Sources without documents give 0 tokens and are dry if anything is asked of them.
     """
-    aims = plain_targets(targets)
     sized = cut(sized_documents(documents, path))
-    last = schedule(sized, targets, seed=seed).groupBy("mix_id", F.col("source").alias("name")).agg(F.max("finish").alias("end"))
-    gave = served(sized, targets, seed=seed, fill=fill).groupBy("mix_id", F.col("source").alias("name")).agg(F.sum("tokens").alias("given"))
+    lane = cut(lanes(sized, targets))
+    gave = served(sized, lane, seed=seed).groupBy("mix_id", F.col("source").alias("name")).agg(F.sum("tokens").alias("given"))
     mixed = gave.groupBy("mix_id").agg(F.sum("given").alias("_mixed"))
     whole = F.broadcast(sized.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("_all")))  # one row
-    joined = aims.join(last, ["mix_id", "name"], "left").join(gave, ["mix_id", "name"], "left").join(mixed, "mix_id", "left").crossJoin(whole)
+    joined = plain_targets(targets).join(lane.select("mix_id", "name", "end"), ["mix_id", "name"], "left").join(gave, ["mix_id", "name"], "left").join(mixed, "mix_id", "left").crossJoin(whole)
     budget = F.col("mix_ratio") * F.col("_all")
     given = F.coalesce(F.col("given"), F.lit(0))
     dry = (F.col("share") * budget > 0) & F.coalesce(F.col("end") < budget, F.lit(True))
-    return joined.select("mix_id", F.col("name").alias("source"), F.col("share").alias("target_share"), (F.col("share") * budget).alias("target_tokens"), given.alias("given_tokens"), F.when(budget > 0, given / budget).alias("reached_share"), dry.alias("dry"), (given / F.col("_mixed")).alias("mix_share"))
+    return joined.select("mix_id", F.col("name").alias("source"), F.col("share").alias("target_share"), (F.col("share") * budget).alias("target_tokens"), given.alias("given_tokens"), (given / F.col("_mixed")).alias("reached_share"), dry.alias("dry"))
 
 
-def dry_sources(documents: DataFrame, targets: DataFrame, *, path: str = TOKENIZER) -> DataFrame:
+def dry_sources(documents: DataFrame, targets: DataFrame, *, path: str | None = None) -> DataFrame:
     """(mix_id, source) of the targets that can't be given even with every document used as often as allowed."""
     return mix_report(documents, targets, path=path).where("dry").select("mix_id", "source")

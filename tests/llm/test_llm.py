@@ -250,26 +250,41 @@ def test_mix_gives_targets_and_names_dry_sources(spark):
     small = got[(got.mix_id == 1) & (got.source == "small")]
     assert small.groupby("doc_id").size().max() == 3 and len(small) == 30
     rep = {(r.mix_id, r.source): r for r in mixture.mix_report(d, targets).collect()}
-    assert abs(rep[1, "big_source"].reached_share - 0.6) < 0.02 and abs(rep[2, "small"].reached_share - 0.03) < 0.01
+    assert rep[1, "none"].given_tokens == 0 and rep[2, "small"].reached_share == 1.0 and rep[2, "big_source"].given_tokens == 0
     assert mixture.mix(d.limit(0), targets).count() == 0 and mixture.dry_sources(d, targets.limit(0)).count() == 0
 
 
-def test_filled_mix_reaches_its_budget(spark):
+def test_mix_is_cut_at_its_budget(spark):
     text = "the quick brown fox jumps over the lazy dog " * 4
     d = docs(spark, [(k, "big", text) for k in range(200)] + [(500 + k, "small", text) for k in range(10)])
     targets = spark.createDataFrame([(1, "big", 0.6, 1, 0.8), (1, "small", 0.4, 3, 0.8), (2, "big", 0.9, 1, 0.5), (2, "small", 0.6, 9, 0.5), (3, "small", 1.0, 2, 1.0)], "mix_id int, source string, target_share double, max_repeats int, mix_ratio double")
-    got = mixture.mix(d, targets, fill=True).toPandas()
+    got = mixture.mix(d, targets).toPandas()
     assert got[got.mix_id == 1].source.value_counts().to_dict() == {"big": 138, "small": 30}  # 168 copies in all
     assert len(got[got.mix_id == 2]) == 105 and len(got[got.mix_id == 3]) == 20
-    rep = {(r.mix_id, r.source): r for r in mixture.mix_report(d, targets, fill=True).collect()}
-    assert abs(rep[1, "big"].mix_share - 138 / 168) < 1e-9 and rep[1, "small"].dry and rep[3, "small"].mix_share == 1.0
-    assert mixture.mix(d.limit(0), targets, fill=True).count() == 0
+    rep = {(r.mix_id, r.source): r for r in mixture.mix_report(d, targets).collect()}
+    assert abs(rep[1, "big"].reached_share - 138 / 168) < 1e-9 and rep[1, "small"].dry and rep[3, "small"].reached_share == 1.0
 
 
-def test_pieces_of_long_texts_join_again():
-    for text in ("", "a" * 120_000, ("word " * 30_000), "\n".join(["line"] * 40_000)):
-        parts = list(mixture.pieces(text))
-        assert "".join(parts) == text and max(map(len, parts)) <= mixture.PIECE
+def test_mix_equals_serving_one_by_one(spark):
+    rng = random.Random(5)
+    d = docs(spark, [(k, rng.choice("abc"), "word " * rng.randint(1, 90)) for k in range(150)])
+    targets = spark.createDataFrame([(m, s, rng.random(), rng.randint(1, 2000), r) for m, r in enumerate((0.1, 0.7, 2.0, 9.0)) for s in "abc"], "mix_id int, source string, target_share double, max_repeats int, mix_ratio double")
+    sized = mixture.sized_documents(d)
+    lane = mixture.lanes(sized, targets)
+    got = mixture.mix(d, targets).toPandas()
+    every = mixture.schedule(sized, lane.withColumn("stop", F.col("end"))).toPandas()  # all copies that are allowed
+    for m, rows in every.groupby("mix_id"):
+        rows = rows.sort_values(["finish", "source", "doc_id", "copy"])
+        want = rows[rows.tokens.cumsum() <= rows.budget.iloc[0]]
+        mine = got[got.mix_id == m]
+        assert set(zip(want.doc_id, want["copy"])) == set(zip(mine.doc_id, mine["copy"])) and len(want)
+    assert len(every) > 3 * len(got)
+
+
+def test_tokens_of_long_texts_are_those_of_the_whole(spark):
+    texts = ["", "a" * 200_000, "word " * 40_000, "\n" * 70_000 + "x", " " * 60_001]
+    got = [r.tokens for r in mixture.sized_documents(docs(spark, [(k, "s", t) for k, t in enumerate(texts)])).orderBy("doc_id").collect()]
+    assert got == [len(mixture.encoding(mixture.TOKENIZER).encode_ordinary(t)) for t in texts]
 
 
 # Subjects.
