@@ -75,11 +75,11 @@ def _p5_report(spark, d):
 
 
 def _p9_found(spark, d):
-    return subjects.assigned_subjects(table(spark, d, "documents"), table(spark, d, "subject_areas"))
+    return subjects.assigned_subjects(table(spark, d, "documents"), table(spark, d, "subject_areas"), table(spark, d, "doc_subjects"), table(spark, d, "heldout_items"))
 
 
 def _p9_report(spark, d):
-    return subjects.subject_report(table(spark, d, "documents"), table(spark, d, "subject_areas"))
+    return subjects.subject_report(table(spark, d, "documents"), table(spark, d, "subject_areas"), table(spark, d, "doc_subjects"), table(spark, d, "heldout_items"))
 
 
 QUERIES = {

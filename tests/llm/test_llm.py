@@ -296,23 +296,29 @@ LAW = "The contract with Garwick grants reuse rights. Clause 5 limits liability.
 def test_subjects_of_documents(spark):
     d = docs(spark, [(k, "a", CARE) for k in range(30)] + [(100 + k, "b", LAW) for k in range(30)] + [(200 + k, None, CARE + LAW) for k in range(15)] + [(300 + k, "a", CARE + "Clause 5 limits liability.") for k in range(10)] + [(900, "a", None), (901, "a", "  "), (902, "a", "Nothing else happened until noon. " * 3000), (1, "a", CARE)])
     areas = spark.createDataFrame([("animal_care", "x"), ("licensing_law", "y"), (None, "z")], "subject_area string, description string")
+    rated = [(k, "animal_care") for k in (0, 1, 2, 3, 200, 201, 202)] + [(k, "licensing_law") for k in (*range(100, 108), 200, 201, 4)] + [(5, "unknown"), (None, "animal_care"), (7, None), (902, "licensing_law"), (0, "animal_care")]
+    ratings = spark.createDataFrame(rated, "doc_id bigint, subject_area string")
+    nothing = spark.createDataFrame([("Nothing else happened until noon.",), (None,), ("",)], "text string")
     got = {}
-    for r in subjects.assigned_subjects(d, areas).collect():
+    for r in subjects.assigned_subjects(d, areas, ratings, nothing).collect():
         got.setdefault(r.doc_id, set()).add(r.subject_area)
-    assert all(got[k] == {"animal_care"} for k in [*range(30), *range(300, 310)])
+    assert {k: v for k, v in got.items() if k < 30 or k >= 300} == {k: {"animal_care"} for k in [*range(30), *range(300, 310)]}
     assert all(got[k] == {"licensing_law"} for k in range(100, 130)) and all(got[k] == {"animal_care", "licensing_law"} for k in range(200, 215))
     assert not {900, 901, 902} & set(got)
-    assert subjects.assigned_subjects(d.limit(0), areas).count() == 0
+    assert subjects.assigned_subjects(d.limit(0), areas, ratings, nothing).count() == 0
+    rep = {r.subject_area: r for r in subjects.subject_report(d, areas, ratings, nothing).collect()}
+    assert (rep["animal_care"].rated, rep["animal_care"].agreed, rep["licensing_law"].rated, rep["licensing_law"].agreed) == (7, 7, 12, 10)
 
 
-def test_areas_without_fixed_words_are_known_by_their_description(spark):
+def test_areas_without_ratings_are_known_by_their_description(spark):
     bees = "The beekeeper checked the hives before noon. Honey from both hives was sold by the beekeeper. "
     d = docs(spark, [(k, "a", CARE) for k in range(30)] + [(100 + k, "b", bees) for k in range(30)])
-    areas = spark.createDataFrame([("animal_care", "x"), ("apiary", "Beekeeper and hives, honey")], "subject_area string, description string")
+    areas = spark.createDataFrame([("zoo", "Hooves, hay and keepers, elephants"), ("apiary", "Beekeeper and hives, honey")], "subject_area string, description string")
     got = {(r.doc_id, r.subject_area) for r in subjects.assigned_subjects(d, areas).collect()}
-    assert got == {(k, "animal_care") for k in range(30)} | {(100 + k, "apiary") for k in range(30)}
+    assert got == {(k, "zoo") for k in range(30)} | {(100 + k, "apiary") for k in range(30)}
     with pytest.raises(ValueError):
         subjects.assigned_subjects(d, spark.range(1001).selectExpr("'a' || id as subject_area", "'x' as description"))
+    assert subjects.assigned_subjects(d, areas.limit(0)).count() == 0
 
 
 def test_wrapped_lines_and_stamps_are_single_sentences():
