@@ -165,6 +165,9 @@ class TermModel:
             taken = share if alone or turn >= LATE else share * ~free[:, None]
             n = np.stack([np.bincount(flat, weights=taken[sent, j], minlength=CELLS) for j in range(k + 1)], axis=1)
             size = taken.sum(axis=0)
+            # What speaks for none is as broad as the terms of all areas, so that no single kind of sentence settles there.
+            n[:, k] += n.sum(axis=1) / (k + 1)
+            size[k] += size.sum() / (k + 1)
             weight, prior = np.log((n + 0.05) / (size + 0.1)), np.log((size + 1) / (size.sum() + k + 1))
             odds = np.add.reduceat(weight[flat], start, axis=0) + prior + seeds + hard
             odds -= odds.max(axis=1, keepdims=True)

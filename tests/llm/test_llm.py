@@ -290,13 +290,13 @@ def test_tokens_of_long_texts_are_those_of_the_whole(spark):
 # Subjects.
 
 CARE = "The vet examined a hoof on the giraffe called Fenden. Dung samples from nine elephants went to the laboratory. Keepers feed the elephant hay by noon. "
-LAW = "The contract with Garwick grants reuse rights. Clause 5 limits liability. Our lawyer finds the terms too wide. "
+LAW = "The contract with Garwick grants reuse rights. Clause 5 limits the liability of Garwick for torn drawings. Our lawyer finds the terms too wide. "
 
 
 def test_subjects_of_documents(spark):
-    d = docs(spark, [(k, "a", CARE) for k in range(30)] + [(100 + k, "b", LAW) for k in range(30)] + [(200 + k, None, CARE + LAW) for k in range(15)] + [(300 + k, "a", CARE + "Clause 5 limits liability.") for k in range(10)] + [(900, "a", None), (901, "a", "  "), (902, "a", "Nothing else happened until noon. " * 3000), (1, "a", CARE)])
+    d = docs(spark, [(k, "a", CARE) for k in range(30)] + [(100 + k, "b", LAW) for k in range(30)] + [(200 + k, None, CARE + LAW) for k in range(15)] + [(300 + k, "a", CARE + "Clause 5 limits the liability of Garwick for torn drawings.") for k in range(10)] + [(900, "a", None), (901, "a", "  "), (902, "a", "Nothing else happened until noon. " * 3000), (1, "a", CARE)])
     areas = spark.createDataFrame([("animal_care", "x"), ("licensing_law", "y"), (None, "z")], "subject_area string, description string")
-    rated = [(k, "animal_care") for k in (0, 1, 2, 3, 200, 201, 202)] + [(k, "licensing_law") for k in (*range(100, 108), 200, 201, 4)] + [(5, "unknown"), (None, "animal_care"), (7, None), (902, "licensing_law"), (0, "animal_care")]
+    rated = [(k, "animal_care") for k in (0, 1, 2, 3, 200, 201)] + [(k, "licensing_law") for k in (*range(100, 108), 200, 201, 4)] + [(5, "unknown"), (None, "animal_care"), (7, None), (902, "licensing_law"), (0, "animal_care")]
     ratings = spark.createDataFrame(rated, "doc_id bigint, subject_area string")
     nothing = spark.createDataFrame([("Nothing else happened until noon.",), (None,), ("",)], "text string")
     got = {}
@@ -307,7 +307,7 @@ def test_subjects_of_documents(spark):
     assert not {900, 901, 902} & set(got)
     assert subjects.assigned_subjects(d.limit(0), areas, ratings, nothing).count() == 0
     rep = {r.subject_area: r for r in subjects.subject_report(d, areas, ratings, nothing).collect()}
-    assert (rep["animal_care"].rated, rep["animal_care"].agreed, rep["licensing_law"].rated, rep["licensing_law"].agreed) == (7, 7, 12, 10)
+    assert (rep["animal_care"].rated, rep["animal_care"].agreed, rep["licensing_law"].rated, rep["licensing_law"].agreed) == (6, 6, 12, 10)
 
 
 def test_areas_without_ratings_are_known_by_their_description(spark):
