@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import box_questions, ensemble, scene_questions, schema_drift, sinks
 from quillon.operators.scenes import boxes, scenes
-from quillon.plans import box_sql, scene_sql, text, text_sql
+from quillon.plans import box_sql, built, scene_sql, text, text_sql
 from quillon.sources import table
 from quillon.streaming import log as stream_log
 
@@ -39,6 +39,7 @@ def _depth_query(build):
 QUERIES = {name: _scene_query(build) for name, (_, build) in scene_questions.REGISTRY.items()}
 QUERIES |= {name: _box_query(build) for name, (_, build) in box_questions.REGISTRY.items()}
 QUERIES |= text.QUERIES
+QUERIES |= built.QUERIES
 
 
 def box_fusion(spark, d):
@@ -89,6 +90,7 @@ SQL: dict[str, str] = (
     scene_sql.SQL
     | box_sql.SQL
     | text_sql.SQL
+    | built.SQL
     | {
         "windowed_accuracy": "SELECT start, key, count(*) AS n, avg(c) AS accuracy FROM (SELECT pred_id, CAST(floor(epoch(min(scored_at)) / 3600) AS BIGINT) * 3600 AS start, any_value(model_family) AS key, any_value(is_correct) AS c FROM predictions GROUP BY 1) GROUP BY 1, 2",
         "event_newest": "SELECT user_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
