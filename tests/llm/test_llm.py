@@ -252,17 +252,17 @@ def test_seeds_miss_no_leak_that_tiling_all_pairs_finds(spark):
     d = spark.createDataFrame(list(enumerate(docs_)), "doc_id bigint, text string")
     i = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
     got = {(r.doc_id, r.item_id): r.score for r in leaks.leaked_documents(d, i).collect()}
-    hasher, want, runs = leaks.Hasher(), {}, {}
+    hasher, want, seeds = leaks.Hasher(), {}, {}
     asked = leaks.descriptions(i)
-    for r in leaks.seeds_of(asked).where(f"size > {leaks.WINDOW}").collect():
-        runs.setdefault(r.description, []).append((r["at"], r["at"] + r["size"]))
+    for r in leaks.seeds_of(asked).collect():
+        seeds.setdefault(r.description, []).append((r["at"], r["at"] + r["size"]))
     for r in asked.collect():
         places = {}
         for at, h in enumerate(hasher.windows(hasher.codes_of(r.words))):
             places.setdefault(h, []).append(at)
         for k, t in enumerate(docs_):
             words = leaks.words_of(t)
-            n = leaks.score(r.words, words, places, hasher.windows(hasher.codes_of(words)), frozenset(r.rare), runs.get(r.description, []))
+            n = leaks.score(r.words, words, places, hasher.windows(hasher.codes_of(words)), seeds.get(r.description, []))
             if n >= leaks.needed(len(r.words)):
                 want[k, r.description] = n
     assert got == want and len(want) > 100
