@@ -180,11 +180,59 @@ def test_same_pictures_and_questions_across_splits(spark):
         {"id": 8, "question": ask, "bytes": None, "split": "test"}, {"id": 9, "question": ask, "bytes": b"GIF89a", "split": "test"}, {"id": 10, "question": ask, "bytes": b"GIF89a"}, {"id": 1, "question": ask, "bytes": picture(1), "late": 1},
         {"id": 11, "question": ask, "bytes": b"P5\n0 0\n255\n", "split": "test"}, {"id": 12, "question": ask.replace("bench", "stop sign").replace("people", "animals"), "bytes": picture(1), "split": "test"},
     ]
+    rows[-1]["question_type"] = "CountAnimalsAtStopSign"
     got = sorted((r.id_a, r.id_b) for r in overlaps.overlapping_rows(qa(spark, rows)).collect())
     assert got == [(1, 2), (1, 5), (9, 10)]
     assert overlaps.overlapping_rows(qa(spark, rows).limit(0)).count() == 0
 
 
+def test_question_kinds_by_type_or_by_the_usual_type_of_the_wording(spark):
+    pic = picture(3)
+    rows = [
+        {"id": 1, "question": "How many people at bench 2?", "bytes": pic, "question_type": "CountPeopleAtBench"},
+        {"id": 2, "question": "Count the persons near bench 2, please", "bytes": pic, "question_type": "count_people_at_bench", "split": "test"},
+        {"id": 3, "question": "How many people at bench 2?", "bytes": pic, "question_type": None, "split": "test"},
+        {"id": 4, "question": "How many people at bench 3?", "bytes": pic, "question_type": None, "split": "test"},
+        {"id": 5, "question": "Unheard of 2", "bytes": pic, "question_type": None, "split": "test"}, {"id": 6, "question": "unheard OF 2", "bytes": pic, "question_type": None},
+        {"id": 7, "question": "?!", "bytes": pic, "split": "test"}, {"id": 8, "question": "How many people at bench 2?", "bytes": pic, "question_type": "ClosestBench", "split": "test"},
+    ]
+    got = sorted((r.id_a, r.id_b) for r in overlaps.overlapping_rows(qa(spark, rows)).collect())
+    assert got == [(1, 2), (1, 3), (5, 6)]
+    assert [(r.split, r.pairs) for r in overlaps.overlap_report(qa(spark, rows)).collect()] == [("test", 3)]
+
+
+def test_pictures_of_png():
+    import struct
+    import zlib
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + b"\0\0\0\0"
+
+    values = np.random.default_rng(0).integers(0, 256, (6, 5, 3))
+    lines, before = b"", np.zeros(15, int)
+    for y, row in enumerate(values.reshape(6, 15)):
+        kind, line = y % 5, []
+        for x in range(15):
+            a, b, c = (row[x - 3] if x > 2 else 0), before[x], (before[x - 3] if x > 2 else 0)
+            guess = (0, a, b, (a + b) // 2, min((a, b, c), key=lambda v: abs(a + b - c - v)))[kind]
+            line.append((row[x] - guess) % 256)
+        lines, before = lines + bytes([kind, *line]), row
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 5, 6, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    w, h, got = overlaps.pixels(data)
+    assert (w, h) == (5, 6) and np.allclose(got.reshape(6, 5), values.mean(axis=2))
+    assert overlaps.pixels(data[:-30]) is None and overlaps.pixels(b"\xff\xd8jpeg") is None
+
+
+def test_common_digests_are_left_to_fine_ones(spark):
+    rng = np.random.default_rng(7)
+    flat = lambda grey, noise: b"P5\n10 10\n255\n" + np.clip(grey + rng.integers(-noise, noise + 1, (10, 10)), 0, 255).astype(np.uint8).tobytes()
+    pics = [(k, picture(k), True, False) for k in range(20)] + [(100 + k, picture(k, noise=50 + k), False, True) for k in range(20)] + [(200 + k, flat(90, 40), True, False) for k in range(40)] + [(300 + k, flat(90, 40), False, True) for k in range(40)] + [(400, flat(10, 1), True, False), (401, flat(200, 1), False, True)]
+    df = spark.createDataFrame([(str(k).encode(), b, t, o) for k, b, t, o in pics], "pic binary, bytes binary, in_train boolean, in_other boolean")
+    for common in (overlaps.COMMON, 0):
+        got = {(int(r.pic_a), int(r.pic_b)) for r in overlaps.picture_links(df, common=common).collect()}
+        assert got == {(k, 100 + k) for k in range(20)}
+
+
 def test_every_re_encoding_is_linked(spark):
     pics = [("a", picture(s)) for s in range(60)] + [("b", picture(s, noise=900 + s)) for s in range(60)]
     rows = [{"id": k + 1, "question": "x 1", "bytes": b, "split": "train" if side == "a" else "test"} for k, (side, b) in enumerate(pics)]
