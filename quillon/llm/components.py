@@ -52,12 +52,11 @@ def components(edges: DataFrame) -> DataFrame:
         meetings = met if meetings is None else meetings.union(met)
         if fresh.isEmpty():
             break
-        known, frontier = known.union(fresh), fresh
+        known, frontier = cut(known.union(fresh)), fresh
     meetings = cut(meetings.distinct())
     if meetings.isEmpty():
         merged = known.select("node", F.col("seed").alias("component"))
     else:
-        known = cut(known)
         over = components(meetings).select(F.col("node").alias("seed"), "component")
         merged = known.join(over, "seed", "left").select("node", F.coalesce("component", "seed").alias("component"))
     return nodes.join(merged, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

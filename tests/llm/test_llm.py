@@ -5,6 +5,7 @@ import unicodedata
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,16 @@ def test_assigned_splits_keep_scenes_whole_and_near_their_shares(spark):
     assert splits.assign_splits(qa(spark, rows).limit(0), targets).count() == 0
 
 
+def test_splits_are_near_their_targets_for_each_type(spark):
+    # Types that few scenes have, a hot scene and a scene of one type only.
+    rows = [{"source_id": f"zoo_bus_{k % 300:08d}.png", "question_type": "abcdef"[(k % 300) % 6]} for k in range(3000)] + [{"source_id": "zoo_bus_99999.png", "question_type": "abcdef"[k % 6]} for k in range(600)] + [{"source_id": None, "question_type": None}] * 100
+    targets = spark.createDataFrame([("train", 0.8), ("evaluation", 0.1), ("test", 0.1)], "split_name string, target_share double")
+    got = splits.assign_splits(qa(spark, rows), targets)
+    rep = {(r.question_type, r.split): r.share for r in splits.split_report(got).collect()}
+    assert all(abs(rep.get((t, s), 0) - w) <= 0.03 for t in [*"abcdef", "", "*"] for s, w in (("train", 0.8), ("evaluation", 0.1), ("test", 0.1)))
+    assert got.groupBy("component").agg(F.count_distinct("split").alias("n")).agg(F.max("n")).first()[0] == 1
+
+
 # Rebalancing.
 
 
@@ -82,6 +93,28 @@ def test_flow_is_the_cheapest():
     assert net.push(0, 3, 7) == 7 and (net.used(a), net.used(b)) == (3, 4)
 
 
+def test_slack_tells_rows_from_room_and_floors_from_targets():
+    def plan(*rows):
+        cells = pd.DataFrame(rows, columns=["question_type", "split", "n", "target_share", "min_rows", "sample_rows"])
+        return {r[0]: r[4:] for r in rebalance.plan_snapshot(cells) if r[2] == "type"}
+
+    got = plan(("a", "t", 30, 0.5, 10, 10), ("b", "t", 30, 0.5, 10, 10))  # floors that don't fit into the sample
+    assert sum(r[1] for r in got.values()) == 10 and sum(r[3] for r in got.values()) == 10 == sum(r[4] for r in got.values()) and not any(r[2] for r in got.values())
+    got = plan(("a", "t", 3, 0.5, 5, 10), ("b", "t", 30, 0.5, 0, 10))
+    assert got == {"a": (5, 3, 2, 0, 2), "b": (5, 7, 0, 0, 0)}
+    rng = random.Random(2)
+    for _ in range(20):
+        size, rows = rng.randint(50, 900), []
+        for i in range(29):
+            share, floor = rng.random() / 15, rng.choice([0, 0, 5, 20])
+            rows += [(f"q{i}", s, rng.choice([0, 3, 20, 80]), share, floor, size) for s in ("train", "evaluation", "test")]
+        cells = pd.DataFrame(rows, columns=["question_type", "split", "n", "target_share", "min_rows", "sample_rows"])
+        out = rebalance.plan_snapshot(cells)
+        types, parts = [r for r in out if r[2] == "type"], [r for r in out if r[2] == "cell"]
+        assert all(r[6] == max(0, r[4] - r[3]) for r in types) and sum(r[5] for r in types) == min(size, sum(r[3] for r in types))
+        assert all(r[5] == sum(p[5] for p in parts if p[0] == r[0]) for r in types) and all(0 <= p[5] <= p[3] for p in parts)
+
+
 def test_drawn_integers_are_next_to_their_amounts():
     for start in (0.0, 0.3, 0.99):
         got = rebalance.draw_integers([0.5, 1.5, 2.25, 0.75], 10, start)
