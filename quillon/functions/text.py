@@ -44,6 +44,11 @@ ACTIONS = [("keep straight", ["straight", "forward"]), ("turn left", ["left"]),
 COMPASS = ["north", "south", "east", "west", "northeast", "northwest", "southeast", "southwest"]
 EGOCENTRIC = ["front", "front-right", "right", "back-right", "back", "back-left", "left", "front-left"]
 NUMBER = r"[-+]?\d*\.?\d+"
+# How a reply names a letter, first match wins; role marks before a reply; first words of yes/no questions; units and their metres.
+LETTERS = [r"^\s*\(?([A-D])\)?(?:[.):\s]|$)", r"\bOPTION\s+([A-D])\b", r"\bANSWER\s+(?:IS\s+)?([A-D])\b", r"\bTHE\s+ANSWER\s+IS\s+([A-D])\b", r"\bCHOICE\s+([A-D])\b"]
+ROLES = ["ASSISTANT:", "Assistant:", "assistant:", "[INST]", "</s>", "<s>"]
+ASKS_YES_NO = r"^(is|are|do|does|did|can|could|would|will|has|have)\b"
+UNITS = [(["centimeter", "centimetre", " cm"], 0.01), (["millimeter", "millimetre", " mm"], 0.001), (["feet", "foot", " ft"], 0.3048), (["inch", " in"], 0.0254)]
 
 
 def strip(text: Column) -> Column:
@@ -91,19 +96,26 @@ def caption(text: Column) -> Column:
 def letter(text: Column, options: Column) -> Column:
     """struct(value, method): the letter a reply names, else that of the first option it contains."""
     up = F.upper(strip(F.coalesce(text, F.lit(""))))
-    tries = [r"^\s*\(?([A-D])\)?(?:[.):\s]|$)", r"\bOPTION\s+([A-D])\b", r"\bANSWER\s+(?:IS\s+)?([A-D])\b", r"\bTHE\s+ANSWER\s+IS\s+([A-D])\b"]
-    named = F.coalesce(*[F.nullif(F.regexp_extract(up, t, 1), F.lit("")) for t in tries])
+    named = F.coalesce(*[F.nullif(F.regexp_extract(up, t, 1), F.lit("")) for t in LETTERS])
     said = caption(F.coalesce(text, F.lit("")))
     hit = F.array_min(F.filter(F.transform(options, lambda o, i: F.when(F.contains(said, caption(o)), i)), lambda i: i.isNotNull()))
     by_text = F.char(F.lit(65) + hit)
     return F.struct(F.coalesce(named, by_text).alias("value"), F.when(named.isNotNull(), "letter").when(by_text.isNotNull(), "caption_match").otherwise("unparsed").alias("method"))
 
 
+_NUM = r"(-?\d+(?:\.\d+)?)"
+_PAIR = rf"[(\[]\s*{_NUM}\s*,\s*{_NUM}\s*[)\]]"
+_BARE_PAIR = _PAIR.replace("(-?", "(?:-?")
+_LITERAL = rf"^\s*(?:{_BARE_PAIR}|\[\s*(?:{_BARE_PAIR}\s*(?:,\s*{_BARE_PAIR}\s*)*,?)?\s*\])\s*$"
+
+
 def points(text: Column, most: int = 10) -> Column:
-    """Points 0..1 of a reply: pairs in brackets, else numbers taken two by two; values up to 100 are percentages."""
-    num = r"(-?\d+(?:\.\d+)?)"
-    pair = rf"[(\[]\s*{num}\s*,\s*{num}\s*[)\]]"
-    xs, ys = (F.regexp_extract_all(text, F.lit(pair), F.lit(k)) for k in (1, 2))
+    """struct(points, method): points 0..1 of a reply; values up to 100 are percentages.
+
+    The reply is a list of pairs or a pair (literal), or has pairs in brackets (regex_pairs), or else
+    its numbers are taken two by two (loose_numbers).
+    """
+    xs, ys = (F.regexp_extract_all(text, F.lit(_PAIR), F.lit(k)) for k in (1, 2))
 
     def scaled(x: Column, y: Column) -> Column:
         x, y = x.cast("double"), y.cast("double")
@@ -115,11 +127,11 @@ def points(text: Column, most: int = 10) -> Column:
         return F.filter(a, lambda p: p["x"].between(0, 1) & p["y"].between(0, 1))
 
     pairs = F.slice(kept(F.zip_with(xs, ys, scaled)), 1, most)
-    loose = F.regexp_extract_all(text, F.lit(num), F.lit(1))
+    loose = F.regexp_extract_all(text, F.lit(_NUM), F.lit(1))
     twos = F.when(F.size(loose) >= 2, F.transform(F.sequence(F.lit(0), F.least(F.floor(F.size(loose) / 2) - 1, F.lit(most - 1)).cast("int")), lambda i: scaled(F.get(loose, 2 * i), F.get(loose, 2 * i + 1))))
     loose_points = kept(F.coalesce(twos, F.array().cast("array<struct<x:double,y:double>>")))
     found = F.when(F.size(pairs) > 0, pairs).otherwise(loose_points)
-    method = F.when(F.size(pairs) > 0, "pairs").when(F.size(loose_points) > 0, "loose_numbers").otherwise("unparsed")
+    method = F.when((F.size(pairs) > 0) & text.rlike(_LITERAL), "literal").when(F.size(pairs) > 0, "regex_pairs").when(F.size(loose_points) > 0, "loose_numbers").otherwise("unparsed")
     return F.struct(found.alias("points"), method.alias("method"))
 
 
@@ -147,7 +159,7 @@ def metres(text: Column) -> Column:
     def scaled(p: Column) -> Column:
         has = lambda *units: any_of(lambda u: F.contains(p["after"], F.lit(u)), list(units))
         v = p["v"]
-        return F.when(has("centimeter", "centimetre", " cm"), v / 100).when(has("millimeter", "millimetre", " mm"), v / 1000).when(has("feet", "foot", " ft"), v * 0.3048).when(has("inch", " in"), v * 0.0254).otherwise(v)
+        return F.coalesce(*[F.when(has(*names), v * f) for names, f in UNITS], v)
 
     return let(parts, scaled)
 
@@ -182,7 +194,7 @@ def relaxed_correct(gold: Column, said: Column) -> Column:
 
 def question_kind(question: Column, answer: Column) -> Column:
     q = F.lower(F.coalesce(question, F.lit("")))
-    yes_no_question = q.rlike(r"^(is|are|do|does|did|can|could|would|will|has|have)\b") | F.lower(strip(F.coalesce(answer, F.lit("")))).isin("yes", "no")
+    yes_no_question = q.rlike(ASKS_YES_NO) | F.lower(strip(F.coalesce(answer, F.lit("")))).isin("yes", "no")
     return F.coalesce(F.when(yes_no_question, "YesNoSpatial"), *[F.when(any_of(lambda w: F.contains(q, F.lit(w)), words), kind) for kind, words in QUESTION_KINDS], F.lit("GeneralSpatial"))
 
 
@@ -195,7 +207,7 @@ def answer_kind(answer: Column) -> Column:
 def clean_reply(text: Column) -> Column:
     """A chat reply without role marks and quotes, in lower case with single blanks."""
     out = strip(F.coalesce(text, F.lit("")))
-    for p in ("ASSISTANT:", "Assistant:", "assistant:", "[INST]", "</s>", "<s>"):
+    for p in ROLES:
         out = F.regexp_replace(out, f"^{re.escape(p)}{WS}*", "")
     out = F.regexp_replace(strip(F.substring_index(out, "</s>", 1)), "^[\"'`]+|[\"'`]+$", "")
     return squeeze(F.lower(out))

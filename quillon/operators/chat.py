@@ -1,4 +1,4 @@
-"""Chat turns to question/answer pairs, and rows to shards of bounded size."""
+"""Chat turns to question/answer pairs."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import WS
-from quillon.operators.ordered import dense_position
 
 
 def qa_pairs(turns: DataFrame) -> DataFrame:
@@ -19,18 +18,3 @@ def qa_pairs(turns: DataFrame) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = said.withColumn("_role", F.lag("role").over(w)).withColumn("question", F.lag("text").over(w))
     return rows.where("role = 'assistant' and _role = 'user'").select("conv_id", "turn", "question", F.col("text").alias("answer"))
-
-
-def shards(rows: DataFrame, order: str, size: str, most: int, block: int = 10_000) -> DataFrame:
-    """``rows`` with ``shard``: the bytes before a row, in the order of ``order``, over ``most``.
-
-    The running sum is taken in blocks of ``block`` rows by position, and over the blocks' sums; no
-    task sees all rows.
-    """
-    placed = dense_position(rows, [order], "_pos").withColumn("_block", F.floor(F.col("_pos") / block))
-    sums = placed.groupBy("_block").agg(F.sum(size).alias("_s"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_block", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))  # one row per block
-    inside = Window.partitionBy("_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    summed = placed.withColumn("_upto", F.sum(size).over(inside)).join(offsets, "_block")
-    return summed.withColumn("shard", F.floor((F.col("_before") + F.col("_upto") - F.col(size)) / most)).drop("_pos", "_block", "_upto", "_before")

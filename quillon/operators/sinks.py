@@ -1,4 +1,4 @@
-"""Writers: numbered QA rows, conversations as JSON lines, label text and key/value stores."""
+"""Writers: numbered QA rows, conversations as JSON lines and label text."""
 
 from __future__ import annotations
 
@@ -18,33 +18,21 @@ def write_qa(qa: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
 
 
 def conversations(qa: DataFrame) -> DataFrame:
-    """(value): JSON lines {image, conversations, question_type}; the image is named by the first 16 digits of its SHA-256."""
+    """(value): JSON lines {image, conversations: [{value}, {value}], question_type}; the image is named by the first 16 digits of its SHA-256."""
     image = F.concat(F.substring(F.sha2("image.bytes", 256), 1, 16), F.lit(".jpg"))
-    talk = F.array(F.struct(F.lit("human").alias("from"), F.col("question").alias("value")), F.struct(F.lit("gpt").alias("from"), F.col("answer").alias("value")))
+    talk = F.array(F.struct(F.col("question").alias("value")), F.struct(F.col("answer").alias("value")))
     return qa.where("image.bytes is not null").select(F.to_json(F.struct(image.alias("image"), talk.alias("conversations"), "question_type")).alias("value"))
 
 
-def unique_images(qa: DataFrame) -> DataFrame:
-    """(name, bytes): each picture once."""
-    rows = qa.where("image.bytes is not null").select(F.substring(F.sha2("image.bytes", 256), 1, 16).alias("name"), F.col("image.bytes").alias("bytes"))
-    return rows.groupBy("name").agg(F.first("bytes").alias("bytes"))
-
-
 def label_text(det: DataFrame) -> DataFrame:
     """(image_id, text): a line 'cls xc yc w h' per box, centre and size over the image size, in the order of det_idx."""
     c = F.col
-    line = F.format_string("%d %.6f %.6f %.6f %.6f", c("cls"), (c("x1") + c("x2")) / 2 / c("img_w"), (c("y1") + c("y2")) / 2 / c("img_h"), (c("x2") - c("x1")) / c("img_w"), (c("y2") - c("y1")) / c("img_h"))
+    six = lambda x: F.floor(x * 1e6 + 0.5) / 1e6  # noqa: E731  halves go up before they are written
+    line = F.format_string("%d %.6f %.6f %.6f %.6f", c("cls"), six((c("x1") + c("x2")) / 2 / c("img_w")), six((c("y1") + c("y2")) / 2 / c("img_h")), six((c("x2") - c("x1")) / c("img_w")), six((c("y2") - c("y1")) / c("img_h")))
     rows = det.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("det_idx", line.alias("t")))).alias("l"))
     return rows.select("image_id", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("text"))
 
 
-def key_value(qa: DataFrame, key: str) -> DataFrame:
-    """(question_type, key, value): JSON {qa_list, split} of each key and type, pairs in the order of their id."""
-    per = qa.groupBy("question_type", F.col(key).alias("key")).agg(F.array_sort(F.collect_list(F.struct("id", "question", "answer"))).alias("l"), F.max("split").alias("split"))
-    pairs = F.transform("l", lambda x: F.array(x["question"], x["answer"]))
-    return per.select("question_type", "key", F.to_json(F.struct(pairs.alias("qa_list"), "split")).alias("value"))
-
-
 def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """What of ``work`` isn't in ``done`` yet: resuming by anti-join."""
     return work.join(done.select(*keys).distinct(), keys, "left_anti")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.operators import box_questions, ensemble, scene_questions, schema_drift, sinks
+from quillon.operators import box_questions, ensemble, metrics, scene_questions, schema_drift, sinks
 from quillon.operators.scenes import boxes, scenes
-from quillon.plans import box_sql, built, scene_sql, text, text_sql
+from quillon.plans import box_sql, built, reports, scene_sql, text, text_sql
 from quillon.sources import table
 from quillon.streaming import log as stream_log
 
@@ -39,13 +39,15 @@ def _depth_query(build):
 QUERIES = {name: _scene_query(build) for name, (_, build) in scene_questions.REGISTRY.items()}
 QUERIES |= {name: _box_query(build) for name, (_, build) in box_questions.REGISTRY.items()}
 QUERIES |= text.QUERIES
-QUERIES |= built.QUERIES
+QUERIES |= built.QUERIES | reports.QUERIES
 
 
 def box_fusion(spark, d):
-    """Boxes of three stand-in models (by det_idx) fused."""
+    """Boxes of three stand-in models (by det_idx), as shares of their images, fused and brought back to pixels."""
     det = boxes(table(spark, d, "detections")).withColumn("model", F.concat(F.lit("m"), (F.col("det_idx") % 3).cast("string")))
-    return ensemble.weighted_fusion(det, {"m0": 1.0, "m1": 1.0, "m2": 1.0})
+    fused = ensemble.weighted_fusion(ensemble.normalized(det), {"m0": 1.0, "m1": 1.0, "m2": 1.0})
+    sizes = det.groupBy("image_id").agg(F.max("img_w").alias("w"), F.max("img_h").alias("h"))
+    return fused.join(sizes, "image_id").withColumns({c: F.col(c) * F.col("w" if c[0] == "x" else "h") for c in ("x1", "y1", "x2", "y2")}).drop("w", "h")
 
 
 def match_boxes(spark, d):
@@ -72,7 +74,7 @@ QUERIES |= {
     "match_boxes": match_boxes,
     "label_text": label_text,
     "fsm_replay": fsm_replay,
-    "windowed_accuracy": lambda spark, d: stream_log.windowed_accuracy(table(spark, d, "predictions").groupBy("pred_id").agg(F.min("scored_at").alias("scored_at"), F.first("model_family").alias("model_family"), F.first("is_correct").alias("is_correct")), time="scored_at", key="model_family", correct="is_correct").withColumn("start", F.unix_timestamp("start")),
+    "windowed_accuracy": lambda spark, d: stream_log.windowed_accuracy(metrics.once(table(spark, d, "predictions")), time="scored_at", key="model_family", correct="is_correct").withColumn("start", F.unix_timestamp("start")),
     "event_newest": lambda spark, d: stream_log.newest(table(spark, d, "events"), "user_id", "ts", ["event_id", "event_type"]),
     "numbered_qa": lambda spark, d: sinks.numbered(table(spark, d, "scenes").select("source_id", "image_id"), ["source_id"]),
     "conversation_lines": lambda spark, d: sinks.conversations(table(spark, d, "qa_rows")),
@@ -91,9 +93,25 @@ SQL: dict[str, str] = (
     | box_sql.SQL
     | text_sql.SQL
     | built.SQL
+    | reports.SQL
     | {
-        "windowed_accuracy": "SELECT start, key, count(*) AS n, avg(c) AS accuracy FROM (SELECT pred_id, CAST(floor(epoch(min(scored_at)) / 3600) AS BIGINT) * 3600 AS start, any_value(model_family) AS key, any_value(is_correct) AS c FROM predictions GROUP BY 1) GROUP BY 1, 2",
+        "windowed_accuracy": text_sql.ONE + " SELECT CAST(floor(epoch(scored_at) / 3600) AS BIGINT) * 3600 AS start, model_family AS key, count(*) AS n, avg(is_correct) AS accuracy FROM p WHERE scored_at IS NOT NULL GROUP BY 1, 2",
         "event_newest": "SELECT user_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
+        "label_text": scene_sql.BOXES
+        + """SELECT image_id, string_agg(printf('%d %.6f %.6f %.6f %.6f', CASE label WHEN 'person' THEN 0 WHEN 'bench' THEN 13 WHEN 'stop sign' THEN 11 WHEN 'elephant' THEN 20 WHEN 'zebra' THEN 22 WHEN 'giraffe' THEN 23 WHEN 'clock' THEN 74 END,
+  floor((x1 + x2) / 2 / img_w * 1e6 + 0.5) / 1e6, floor((y1 + y2) / 2 / img_h * 1e6 + 0.5) / 1e6, floor((x2 - x1) / img_w * 1e6 + 0.5) / 1e6, floor((y2 - y1) / img_h * 1e6 + 0.5) / 1e6), chr(10) ORDER BY det_idx) AS text FROM d GROUP BY 1""",
+        "conversation_lines": """SELECT '{"image":"' || substr(sha256(image.bytes), 1, 16) || '.jpg","conversations":[' || CASE WHEN question IS NULL THEN '{}' ELSE '{"value":' || to_json(question) || '}' END || ',' ||
+  CASE WHEN answer IS NULL THEN '{}' ELSE '{"value":' || to_json(answer) || '}' END || ']' || CASE WHEN question_type IS NULL THEN '' ELSE ',"question_type":' || to_json(question_type) END || '}' AS value FROM qa_rows WHERE image.bytes IS NOT NULL""",
+        "objects_in_row": scene_sql.BOXES
+        + """, o AS (SELECT image_id, cx, cy, img_h, row_number() OVER (PARTITION BY image_id ORDER BY cx, det_idx) AS k FROM d),
+  win AS (SELECT a.image_id, a.k AS s, b.k AS e, any_value(c.img_h) AS h, count(*) AS n, var_pop(c.cx) AS vx, var_pop(c.cy) AS vy, covar_pop(c.cx, c.cy) AS vxy
+          FROM o a JOIN o b ON b.image_id = a.image_id AND b.k >= a.k + 2 JOIN o c ON c.image_id = a.image_id AND c.k BETWEEN a.k AND b.k GROUP BY 1, 2, 3)
+  SELECT image_id, '' AS subject, CASE WHEN min(greatest(0, vy - CASE WHEN vx > 1e-9 THEN vxy * vxy / vx ELSE 0 END) / (h * h)) < 0.1 THEN 'Yes' ELSE 'No' END AS answer FROM win GROUP BY 1""",
+        "fsm_replay": """WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_id AS seq, event_type AS a, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL),
+  t(s, a, n) AS (VALUES ('idle', 'view', 'looking'), ('idle', 'signup', 'member'), ('looking', 'purchase', 'buyer'), ('looking', 'error', 'idle'), ('buyer', 'error', 'idle'), ('member', 'purchase', 'buyer')),
+  r AS (SELECT e.run_id, e.seq, e.k, coalesce(t.n, 'idle') AS state, coalesce(t.n, 'idle') <> 'idle' AS changed FROM e LEFT JOIN t ON t.s = 'idle' AND t.a = e.a WHERE k = 1
+    UNION ALL SELECT e.run_id, e.seq, e.k, coalesce(t.n, r.state), coalesce(t.n, r.state) <> r.state FROM r JOIN e ON e.run_id = r.run_id AND e.k = r.k + 1 LEFT JOIN t ON t.s = r.state AND t.a = e.a)
+  SELECT run_id, seq, state, changed FROM r""",
         "numbered_qa": "SELECT source_id, image_id, row_number() OVER (ORDER BY source_id) - 1 AS id FROM scenes",
     }
 )

@@ -47,10 +47,9 @@ def delta(spark, d):
 
 
 def leakage_guard(spark, d):
-    """Held-out question types in train; must be empty for a clean dataset."""
-    kind = metrics.plain_type(C("question_type"))
-    rows = _qa(spark, d).where(F.lower(F.trim("split")).startswith("tr") & kind.isin(*[h.lower() for h in metrics.HELD_OUT]))
-    return rows.groupBy(kind.alias("question_type")).agg(F.count_distinct("id").alias("rows"))
+    """Held-out question types in train, under any spelling; must be empty for a clean dataset (``evaluation.guard_no_leak`` raises)."""
+    rows = metrics.qa_once(_qa(spark, d)).where((C("split") == "train") & C("question_type").isin(*[h.lower() for h in metrics.HELD_OUT]))
+    return rows.groupBy("question_type").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def dedup_hash(spark, d):
@@ -111,12 +110,6 @@ def qa_pairs_from_turns(spark, d):
     return chat.qa_pairs(turns)
 
 
-def running_shards(spark, d):
-    """Documents in the order of doc_id, cut into shards of about 100,000 bytes by the bytes before each."""
-    rows = table(spark, d, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
-    return chat.shards(rows, "doc_id", "size", 100_000).groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
-
-
 QUERIES = {
     "normalize_answer": lambda s, d: _p(s, d).select("pred_id", T.normalize_answer(C("raw_prediction")).alias("value")),
     "parse_yes_no": parse_yes_no,
@@ -148,5 +141,4 @@ QUERIES = {
     "bbox_edge_dist": bbox_edge_dist,
     "best_frame": best_frame,
     "qa_pairs_from_turns": qa_pairs_from_turns,
-    "running_shards": running_shards,
 }

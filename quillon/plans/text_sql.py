@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillon.functions import text as T
+from quillon.functions.names import SPLIT_NAMES
 from quillon.operators.metrics import HELD_OUT
 
 WS = T.WS
@@ -33,7 +34,7 @@ NORMALIZE = [f"lower({strip(chr(123) + 'v' + chr(125))})"]
 NORMALIZE += [f"CASE WHEN starts_with({{v}}, {lit(p)}) THEN {strip(f'substr({{v}}, {len(p) + 1})')} ELSE {{v}} END" for p in T.PREFIXES]
 NORMALIZE += [squeeze("translate({v}, chr(10) || chr(9) || '.!?;', '      ')"), "regexp_replace({v}, ' *, *', ',', 'g')"]
 CLEAN = [strip("{v}")]
-CLEAN += [f"CASE WHEN starts_with({{v}}, {lit(p)}) THEN {strip(f'substr({{v}}, {len(p) + 1})')} ELSE {{v}} END" for p in ("ASSISTANT:", "Assistant:", "assistant:", "[INST]", "</s>", "<s>")]
+CLEAN += [f"CASE WHEN starts_with({{v}}, {lit(p)}) THEN {strip(f'substr({{v}}, {len(p) + 1})')} ELSE {{v}} END" for p in T.ROLES]
 CLEAN += [f"regexp_replace({strip('split_part({v}, ' + lit('</s>') + ', 1)')}, {lit(chr(94) + chr(91) + chr(34) + chr(39) + '`]+|[' + chr(34) + chr(39) + '`]+$')}, '', 'g')", squeeze("lower({v})")]
 
 
@@ -62,7 +63,7 @@ def metres(x: str) -> str:
     low = f"lower(coalesce({x}, ''))"
     n = f"TRY_CAST(nullif(regexp_extract({low}, '({T.NUMBER})', 1), '') AS DOUBLE)"
     after = f"regexp_extract({low}, '{T.NUMBER}((?s:.{{0,24}}))', 1)"
-    return f"CASE WHEN {has(after, ['centimeter', 'centimetre', ' cm'])} THEN {n} / 100 WHEN {has(after, ['millimeter', 'millimetre', ' mm'])} THEN {n} / 1000 WHEN {has(after, ['feet', 'foot', ' ft'])} THEN {n} * 0.3048 WHEN {has(after, ['inch', ' in'])} THEN {n} * 0.0254 ELSE {n} END"
+    return "CASE " + " ".join(f"WHEN {has(after, names)} THEN {n} * {f}" for names, f in T.UNITS) + f" ELSE {n} END"
 
 
 def directions(v: str) -> str:
@@ -79,13 +80,22 @@ _AK0 = f"regexp_replace(lower({strip('coalesce(gold_answer, ' + chr(39) * 2 + ')
 ANSWER_KIND = f"""CASE WHEN {_AK0} IN ('yes', 'no') THEN 'yes_no' WHEN regexp_matches({_AK0}, '{T.NUMBER}') THEN 'numeric' WHEN {has(_AK0, T.ANSWER_DIRECTIONS)} THEN 'directional'
   WHEN len(list_filter(string_split({squeeze(_AK0)}, ' '), lambda w: w <> '')) <= 4 THEN 'short_phrase' ELSE 'long_phrase' END"""
 _Q = "lower(coalesce(question, ''))"
-QUESTION_KIND = f"CASE WHEN regexp_matches({_Q}, '^(is|are|do|does|did|can|could|would|will|has|have)\\b') OR lower({strip('coalesce(gold_answer, ' + chr(39) * 2 + ')')}) IN ('yes', 'no') THEN 'YesNoSpatial' " + " ".join(f"WHEN {has(_Q, w)} THEN '{k}'" for k, w in T.QUESTION_KINDS) + " ELSE 'GeneralSpatial' END"
+QUESTION_KIND = f"CASE WHEN regexp_matches({_Q}, '{T.ASKS_YES_NO}') OR lower({strip('coalesce(gold_answer, ' + chr(39) * 2 + ')')}) IN ('yes', 'no') THEN 'YesNoSpatial' " + " ".join(f"WHEN {has(_Q, w)} THEN '{k}'" for k, w in T.QUESTION_KINDS) + " ELSE 'GeneralSpatial' END"
 PREPOSITION = "CASE " + " ".join(f"WHEN regexp_matches(coalesce(question, ''), '{p}') THEN '{n}'" for n, p in T.PREPOSITIONS) + " ELSE 'unknown' END"
 _TYPE = "lower(regexp_replace(question_type, '[^A-Za-z0-9]', '', 'g'))"
 _HELD = "(" + ", ".join(lit(h.lower()) for h in HELD_OUT) + ")"
 _YN = """regexp_replace(lower({0}), '^[`''"\\s(\\{{\\[]+', '')""".replace("{0}", strip("coalesce(raw_prediction, '')")).replace("{{", "{")
 _C = "n"
 
+#: Each id of qa_rows once, as ingested last: t its plain type, s its scene, x its plain split.
+_BASE = r"regexp_replace(lower(trim(regexp_extract(replace(trim(source_id), '\', '/'), '([^/]*)$', 1))), '-', '_', 'g')"
+_BARE = rf"regexp_replace({_BASE}, '\.[a-z0-9]{{1,5}}$', '')"
+_STEM = rf"regexp_extract({_BARE} || ' ', '^((?:[a-z]+_)+(?:[0-9]+|[0-9a-f]{{8,}}))(?:[^0-9a-z])', 1)"
+_SCENE = rf"nullif(regexp_replace(CASE WHEN {_STEM} = '' THEN {_BARE} ELSE {_STEM} END, '_0+([0-9]+)$', '_\1'), '')"
+_SPLIT = "CASE lower(trim(regexp_replace(split, '\\s+', ' ', 'g'))) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SPLIT_NAMES.items()) + " END"
+QA = f"""WITH q AS (SELECT id, nullif(regexp_replace(lower(question_type), '[^\\p{{L}}\\p{{Nd}}]+', '', 'g'), '') AS t, {_SCENE} AS s, {_SPLIT} AS x, answer FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC, question_type DESC NULLS LAST, source_id DESC NULLS LAST, split DESC NULLS LAST, answer DESC NULLS LAST) AS k FROM qa_rows WHERE id IS NOT NULL) WHERE k = 1)"""
+
 SQL: dict[str, str] = {
     "normalize_answer": f"{ONE} SELECT pred_id, v AS value FROM {norm('raw_prediction')}",
     "parse_yes_no": f"""{ONE}, l AS (SELECT pred_id, {_YN} AS t FROM p), m AS (SELECT pred_id, regexp_extract(t, '^([a-z]*)', 1) AS f,
@@ -115,13 +125,13 @@ SQL: dict[str, str] = {
     "equalized_sample": f"""{ONE}, m AS (SELECT least(min(c), 300) AS m FROM (SELECT count(*) AS c FROM p GROUP BY run_name)),
   k AS (SELECT run_name, is_correct, row_number() OVER (PARTITION BY run_name ORDER BY md5(CAST(pred_id AS VARCHAR)), pred_id) AS k FROM p)
   SELECT m AS per_group, avg(v) AS value FROM (SELECT run_name, m, avg(is_correct) AS v FROM k, m WHERE k <= m GROUP BY 1, 2) GROUP BY 1""",
-    "dataset_stats": """SELECT question_type, qa_pairs, images, train, evaluation, test, qa_pairs / sum(qa_pairs) OVER () AS share FROM (
-  SELECT question_type, count(DISTINCT id) AS qa_pairs, count(DISTINCT source_id) AS images, count(DISTINCT id) FILTER (lower(trim(split)) LIKE 'tr%') AS train,
-         count(DISTINCT id) FILTER (lower(trim(split)) LIKE 'eva%') AS evaluation, count(DISTINCT id) FILTER (lower(trim(split)) LIKE 'te%') AS test FROM qa_rows GROUP BY 1)""",
-    "top_answers": """SELECT question_type, answer, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_type ORDER BY n DESC, first, answer NULLS FIRST) AS rank FROM (
-  SELECT question_type, answer, count(DISTINCT id) AS n, min(id) AS first FROM qa_rows GROUP BY 1, 2)) WHERE rank <= 10""",
+    "dataset_stats": f"""{QA}, u AS (SELECT t, s, x, count(*) AS n FROM q GROUP BY ALL UNION ALL SELECT '*', s, x, count(*) FROM q GROUP BY ALL),
+  g AS (SELECT t AS question_type, CAST(sum(n) AS BIGINT) AS qa_pairs, count(DISTINCT s) AS images, {', '.join(f"CAST(coalesce(sum(n) FILTER (x = '{x}'), 0) AS BIGINT) AS {x}, count(DISTINCT s) FILTER (x = '{x}') AS {x}_images" for x in ('train', 'evaluation', 'test'))} FROM u WHERE t IS NOT NULL GROUP BY 1)
+  SELECT *, qa_pairs / (SELECT qa_pairs FROM g WHERE question_type = '*') AS share FROM g""",
+    "top_answers": f"""{QA} SELECT question_type, answer, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_type ORDER BY n DESC, first, answer NULLS FIRST) AS rank FROM (
+  SELECT t AS question_type, answer, count(*) AS n, min(id) AS first FROM q WHERE t IS NOT NULL GROUP BY 1, 2)) WHERE rank <= 10""",
     "answer_distribution": """SELECT answer, n, row_number() OVER (ORDER BY CASE WHEN regexp_matches(answer, '^[0-9]{1,9}$') THEN TRY_CAST(answer AS INT) ELSE 999 END, answer) AS position FROM (SELECT answer, count(*) AS n FROM qa_rows WHERE answer IS NOT NULL GROUP BY 1)""",
-    "leakage_guard": f"SELECT coalesce({_TYPE}, 'unknown') AS question_type, count(DISTINCT id) AS rows FROM qa_rows WHERE lower(trim(split)) LIKE 'tr%' AND {_TYPE} IN {_HELD} GROUP BY 1",
+    "leakage_guard": f"{QA} SELECT t AS question_type, count(*) AS rows FROM q WHERE x = 'train' AND t IN {_HELD} GROUP BY 1",
     "dedup_hash": "SELECT substr(sha256(image.bytes), 1, 16) AS hash, min(id) AS id, count(DISTINCT id) AS rows FROM qa_rows WHERE image.bytes IS NOT NULL GROUP BY 1",
     "last_event_per_run": "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type = 'purchase') WHERE k = 1",
     "time_of_day_filter": "SELECT event_type, hour(ts) AS hour, count(*) AS n FROM events WHERE hour(ts) >= 8 AND hour(ts) < 18 GROUP BY 1, 2",
@@ -134,7 +144,6 @@ SQL: dict[str, str] = {
     "qa_pairs_from_turns": f"""WITH t AS (SELECT pred_id AS conv_id, 1 AS turn, 'user' AS role, question AS text FROM predictions UNION SELECT pred_id, 2, 'user', gold_answer FROM predictions WHERE is_correct = 0 UNION SELECT pred_id, 3, 'assistant', raw_prediction FROM predictions UNION SELECT pred_id, 4, 'assistant', normalized_prediction FROM predictions),
   u AS (SELECT *, lag(role) OVER w AS prev_role, lag(text) OVER w AS prev_text FROM t WHERE regexp_replace(text, '{WS}+', '', 'g') <> '' AND role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
   SELECT conv_id, turn, prev_text AS question, text AS answer FROM u WHERE role = 'assistant' AND prev_role = 'user'""",
-    "running_shards": "",
 }
 from quillon.plans.scene_sql import BOXES  # noqa: E402
 
@@ -145,5 +154,4 @@ SQL |= {
     "bbox_edge_dist": BOXES + """SELECT a.image_id, a.det_idx, sqrt(gx * gx + gy * gy) AS gap FROM (SELECT d.image_id, d.det_idx, greatest(0, d.x1 - c.x2, c.x1 - d.x2) AS gx, greatest(0, d.y1 - c.y2, c.y1 - d.y2) AS gy FROM d JOIN clk c USING (image_id) WHERE d.label <> 'clock') a""",
     "best_frame": BOXES + """, f AS (SELECT image_id // 10 AS file, image_id, count(*) AS n, avg((x2 - x1) * (y2 - y1)) AS a FROM d GROUP BY 1, 2), s AS (SELECT *, 0.5 * (n / max(n) OVER (PARTITION BY file) + a / max(a) OVER (PARTITION BY file)) AS score FROM f)
   SELECT file, image_id, score FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score DESC, image_id) AS k FROM s) WHERE k = 1""",
-    "running_shards": "SELECT shard, count(*) AS rows, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT doc_id, size, CAST(floor((sum(size) OVER (ORDER BY doc_id) - size) / 100000.0) AS BIGINT) AS shard FROM (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS size FROM documents)) GROUP BY 1",
 }

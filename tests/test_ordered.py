@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from quillon.operators.chat import qa_pairs, shards
+from quillon.operators.chat import qa_pairs
 from quillon.operators.ordered import dense_position, hash_running
 
 
@@ -26,12 +26,6 @@ def test_dense_position_is_the_order(spark):
     assert dense_position(df.limit(0), ["x"]).count() == 0
 
 
-def test_shards_cut_by_bytes_before(spark):
-    df = spark.createDataFrame([(i, 10) for i in range(25)], "k int, size int")
-    out = shards(df, "k", "size", 100, block=4).toPandas().sort_values("k")
-    assert list(out.shard) == [i // 10 for i in range(25)]
-
-
 def test_a_later_user_turn_replaces_and_other_roles_are_ignored(spark):
     turns = [(1, 1, "user", "u1"), (1, 2, "user", "u2"), (1, 3, "system", "s"), (1, 4, "assistant", "a1"), (1, 5, "assistant", "a2"), (1, 6, "user", "u3"), (2, 1, "user", " "), (2, 2, "assistant", "x"), (3, 1, "user", None)]
     out = qa_pairs(spark.createDataFrame(turns, "conv_id int, turn int, role string, text string")).collect()

@@ -26,7 +26,7 @@ def test_letter(spark, text, want):
     assert tuple(one(spark, lambda t: T.letter(t, options), text)) == want
 
 
-@pytest.mark.parametrize("text, points, how", [("(50, 20)", [(0.5, 0.2)], "pairs"), ("[(0.1, 0.2)]", [(0.1, 0.2)], "pairs"), ("x 0.3 y 0.4", [(0.3, 0.4)], "loose_numbers"), ("none", [], "unparsed")])
+@pytest.mark.parametrize("text, points, how", [("(50, 20)", [(0.5, 0.2)], "literal"), ("[(0.1, 0.2)]", [(0.1, 0.2)], "literal"), ("at (50, 20) or (0.1, 0.2)", [(0.5, 0.2), (0.1, 0.2)], "regex_pairs"), ("x 0.3 y 0.4", [(0.3, 0.4)], "loose_numbers"), ("none", [], "unparsed")])
 def test_points(spark, text, points, how):
     r = one(spark, T.points, text)
     assert ([tuple(p) for p in r.points], r.method) == (points, how)
@@ -62,3 +62,19 @@ def test_metric_tables(spark):
     none = {r.metric: r.value for r in metrics.pair_set_accuracy(df.limit(0)).collect()}
     assert none == {"pair_accuracy": None, "set_accuracy": None}
     assert {r.metric: r.value for r in metrics.seen_unseen(df.limit(0)).collect()} == {"overall_accuracy": 0.0, "seen_accuracy": 0.0, "unseen_accuracy": 0.0}
+
+
+def test_dataset_statistics(spark):
+    from datetime import datetime
+
+    t = datetime(2025, 1, 1)
+    rows = [(1, "CountPeople", "zoo_bus_1.png", "Train", "1"), (2, "count people", "x/ZOO-BUS-0001_v2.PNG", "val", "2"), (2, "count people", "x/ZOO-BUS-0001_v2.PNG", "val", "2"), (3, "ClosestBench", "zoo_bus_2.png", "TESTING", "2"), (4, None, None, None, "2"), (5, "Closest-Bench-With-Person", "zoo_bus_3.png", "training", None)]
+    qa = spark.createDataFrame([(*r, t) for r in rows], "id int, question_type string, source_id string, split string, answer string, ingested_at timestamp")
+    got = {r.question_type: r for r in metrics.dataset_stats(qa).collect()}
+    assert set(got) == {"*", "countpeople", "closestbench", "closestbenchwithperson"}
+    assert (got["countpeople"].qa_pairs, got["countpeople"].images, got["countpeople"].train, got["countpeople"].evaluation, got["countpeople"].train_images) == (2, 1, 1, 1, 1)
+    assert (got["*"].qa_pairs, got["*"].images, got["*"].test_images) == (5, 3, 1) and abs(got["countpeople"].share - 0.4) < 1e-9
+    assert [(r.answer, r["rank"]) for r in metrics.top_answers(qa).where("question_type = 'countpeople'").orderBy("rank").collect()] == [("1", 1), ("2", 2)]
+    assert metrics.dataset_stats(qa.limit(0)).first().qa_pairs in (0, None)
+    leaked = metrics.qa_once(qa).where(F.col("question_type").isin(*[h.lower() for h in metrics.HELD_OUT]) & (F.col("split") == "train")).collect()
+    assert [r.id for r in leaked] == [5]
