@@ -1,10 +1,9 @@
-"""An automaton of refusal phrases in several languages."""
+"""Refusals: an automaton of phrases in several languages, and the make of English ones."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 # Phrases by which a reply declines, in lower case, apostrophes as '.
 PHRASES = """
@@ -26,6 +25,34 @@ möchte ich nicht; möchte nicht antworten; nicht möglich; lehne ich ab; verwei
 """
 
 
+# Words of a refusal by its make: who declines, what keeps from it, what is not done, and rules.
+SELF = set("i i'm i'll i'd we we're we'll yo ich wir je".split())
+BARRED = set("can't cannot couldn't won't unable refuse decline declining declined abstain refrain wouldn't shouldn't mustn't".split())
+NOT = {"not", "never"}
+ABLE = set("can could will would able allowed permitted going willing may must should comfortable".split())
+DEED = set("answer help assist say tell comply respond reply provide determine judge discuss share give process continue fulfill fulfil complete access guess".split())
+PASS = {("pass", "on"), ("skip", "this"), ("sit", "out"), ("opt", "out"), ("leave", "it"), ("stay", "out")}
+RULES = set("policy policies guidelines rules terms restrictions safety".split())
+AGAINST = set("against violates violate violating breaks breach breaches outside beyond".split())
+#: Words within which the parts of a refusal follow each other.
+NEAR = 5
+
+
+def declines(words: list[str]) -> bool:
+    """True if the words have the make of a refusal: someone who can't or won't do what is asked, or passes it on, or rules against it."""
+    for i, w in enumerate(words):
+        if w in AGAINST and any(v in RULES for v in words[i + 1 : i + 1 + NEAR]):
+            return True
+        if w not in SELF:
+            continue
+        near = words[i + 1 : i + 1 + NEAR]
+        for k, v in enumerate(near):
+            barred = v in BARRED or v in NOT and k > 0 and (near[k - 1] in ABLE or near[k - 1] in ("am", "are")) or w in ("i'm", "we're") and v in NOT
+            if barred and any(x in DEED for x in words[i + 2 + k : i + 2 + k + NEAR]) or (v, words[i + 2 + k] if i + 2 + k < len(words) else "") in PASS and v not in DEED:
+                return True
+    return False
+
+
 class PhraseAutomaton:
     """Aho-Corasick over words: finds whether any phrase occurs as a run of whole words."""
 
@@ -70,7 +97,7 @@ def words_of(text: str) -> list[str]:
 AUTOMATON = PhraseAutomaton([words_of(p) for p in PHRASES.replace("\n", " ").split(";") if p.strip()])
 
 
-@lru_cache(maxsize=100_000)
 def refuses(text: str) -> bool:
-    """True if the text has a refusal phrase."""
-    return AUTOMATON.finds(words_of(text))
+    """True if the text has a refusal phrase or the make of one."""
+    words = words_of(text)
+    return AUTOMATON.finds(words) or declines(words)

@@ -4,7 +4,7 @@ Each reply is held against its question: a suffix automaton of the question's wo
 much of the reply is copied, an automaton of refusal phrases finds replies that decline, stacks of
 delimiters and the last word find replies that break off, and votes of common words (or the script)
 tell the languages of question and reply. What can't be seen in one reply, that it ends where many
-other replies go on, is found by a count of all replies and their beginnings.
+other replies go on, or inside a word, is found by a count of all replies, their beginnings and words.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm import languages
 from quillon.llm.refusals import refuses
+from quillon.operators.joins import bounded_join
 from quillon.session import cut
 
 #: A reply breaks off if at most this share as many replies end there as go on in the same way.
@@ -36,36 +38,6 @@ RUN = 3
 LABELS = "answer final reply response result output solution q a question prompt antwort frage ergebnis respuesta pregunta resultado réponse".split()
 PLACEHOLDERS = "empty blank null nil nan none na tbd todo missing undefined placeholder unknown".split() + ["n/a", "no answer", "not available", "no response", "no reply"]
 
-# Common words of each language, with those of directions, numbers and short replies.
-WORDS = {
-    "en": """the of and to is it in that this as at by be are was with for from which what how many who where when have has must should can on its so
-        i you we they my your there here not no yes turn left right keep straight already facing front back behind north south east west northeast northwest
-        southeast southwest one two three four five six seven eight nine ten lies lie number people scene picture sorry answer reply because since would
-        count closest bench benches sign stop animals direction bus get way past obstacles""",
-    "es": """el la los las un una unos unas de del al y en que es son está están se ha ya no sí por para con su lo más hay qué cuál cuántas cuántos hacia
-        lado debe ser ver mira girar gira izquierda derecha seguir recto delante detrás atrás norte sur este oeste noreste noroeste sureste suroeste nordeste sudeste
-        sudoeste uno dos tres cuatro cinco seis siete ocho nueve cero personas escena imagen banco autobús todavía llegado primero según queda cerca número números total
-        punto cardinal cerca frente puedo siento lo me tengo acceso foto""",
-    "de": """der die das den dem des ein eine einen einem und ist sind im in am an auf zu zur zum nach von vom mit für nicht noch kein keine ja nein er sie es
-        ich wir sich muss hat haben wie viele welche wohin schon links rechts geradeaus weiterfahren abbiegen vorne hinten vor hinter norden süden osten westen nordosten
-        nordwesten südosten südwesten nord süd ost west eins zwei drei vier fünf sechs sieben acht neun null insgesamt menschen szene bild bank nummer nächsten näher
-        bus zeigt liegt drehen erreicht angekommen reihenfolge lautet stück davon sehe sehen ausgerichtet dran damit genannte bildern""",
-    "fr": """le la les un une des du de et est sont il elle y a en on au aux à ce cette pas ne que qui pour par avec sur dans vers je nous oui non déjà encore
-        tourner tout droit gauche droite devant derrière nord sud est ouest nord-ouest nord-est sud-est sud-ouest deux trois quatre cinq six sept huit neuf zéro voit photo
-        arrivé face numéro numéros plus proche sont scène personnes""",
-    "pt": """o a os as um uma do da dos das de e é são em no na nos nas ao à que para por com não sim já ainda mais há virar seguir em frente esquerda direita
-        atrás diante norte sul leste oeste nordeste noroeste sudeste sudoeste dois duas três quatro cinco seis sete oito nove zero nenhuma todo cena chegou fica perto número
-        números pessoas""",
-    "it": """il lo la i gli le un una uno di del della dei e è sono in nel nella che per con non sì già ancora più ci girare gira dritto sinistra destra davanti
-        dietro nord sud est ovest nordest nordovest sudest sudovest due tre quattro cinque sei sette otto nove zero persone scena numero numeri vicino arrivato""",
-    "nl": """de het een en is zijn er in op naar van met voor niet nog geen ja nee hij zij ik wij zich moet heeft al links rechts rechtdoor voor achter noorden
-        zuiden oosten westen noordoosten noordwesten zuidoosten zuidwesten twee drie vier vijf zes zeven acht negen nul mensen scène nummer dichtst dichterbij aangekomen""",
-}
-VOTES: dict[str, set[str]] = {}
-for _lang, _words in WORDS.items():
-    for _w in _words.split():
-        VOTES.setdefault(_w, set()).add(_lang)
-
 # Words after which a sentence goes on.
 OPEN_ENDS = set(
     """the a an of to in at by from with for and or but because since as when while if that which than its near nearest between towards toward is are was lies it i
@@ -76,7 +48,6 @@ OPEN_ENDS = set(
 WHOLE = set("north south back front norte sur yes no ja nein sí left right".split())
 _ZERO = re.compile("[​-‏⁠﻿­]")
 _TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-_SCRIPTS = ("CJK", "HIRAGANA", "KATAKANA", "HANGUL", "CYRILLIC", "ARABIC", "GREEK", "HEBREW", "DEVANAGARI", "THAI", "GEORGIAN", "ARMENIAN", "BENGALI", "TAMIL")
 
 
 class SuffixAutomaton:
@@ -142,8 +113,9 @@ def covered(ends: list[int], run: int) -> list[bool]:
     return out
 
 
-@lru_cache(maxsize=20_000)
+@lru_cache(maxsize=1)
 def automaton(question: str) -> tuple[SuffixAutomaton, int]:
+    """Of the last question asked for only: rows come in the order of their questions."""
     words = tokens(question)
     return SuffixAutomaton(words), len(words)
 
@@ -184,37 +156,22 @@ def content(reply: str | None) -> str:
     return bare or text
 
 
-@lru_cache(maxsize=100_000)
-def votes(text: str) -> tuple[tuple[str, int], ...]:
-    """(language or script, votes) of a text; letters outside ASCII that no listed word explains vote for '?'."""
-    out: dict[str, int] = {}
-    for w in re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", unicodedata.normalize("NFC", text).lower()):
-        parts = [w] if w in VOTES else w.split("-")
-        for p in parts:
-            if p in VOTES:
-                for lang in VOTES[p]:
-                    out[lang] = out.get(lang, 0) + 1
-            elif not p.isascii():
-                name = unicodedata.name(next(c for c in p if ord(c) > 127), "")
-                script = next((s for s in _SCRIPTS if name.startswith(s)), "?")
-                out[script] = out.get(script, 0) + (3 if script != "?" else 1)
-    return tuple(out.items())
-
-
-def language(text: str) -> str | None:
-    """The language with most votes, None without any or if two lead."""
-    got = sorted(votes(text), key=lambda x: -x[1])
-    if not got or len(got) > 1 and got[0][1] == got[1][1]:
-        return None
-    return got[0][0]
+@lru_cache(maxsize=1)
+def question_language(question: str) -> str | None:
+    return languages.language(languages.words_of(question))
 
 
 def speaks_other(question: str, reply: str) -> bool:
-    """True if the votes for another language than the question's are more than those for it."""
-    mine = language(question)
-    got = dict(votes(reply))
+    """True if more speaks for another language than for the question's: the votes of common words and scripts, or without any the letter groups."""
+    mine = question_language(question)
+    if mine is None:
+        return False
+    words = languages.words_of(reply)
+    got = languages.votes(words)
     own = got.get(mine, 0)
-    return mine is not None and any(n > own for lang, n in got.items() if lang != mine and (lang != "?" or own == 0))
+    if any(n > own for lang, n in got.items() if lang != mine and (lang != "?" or own == 0)):
+        return True
+    return own == 0 and languages.by_letters(words) not in (None, mine)
 
 
 def unclosed(text: str) -> bool:
@@ -288,14 +245,37 @@ def early_endings(replies: DataFrame) -> DataFrame:
     return ends.withColumn("h", F.xxhash64("form")).join(per, ["i", "h"]).where(F.col("n") <= goes_on * ENDING_SHARE).select("form")
 
 
+def cut_words(replies: DataFrame) -> DataFrame:
+    """(last): last words of ``replies`` (text, question), without an end mark, at which a text breaks off inside a word.
+
+    Such a word stands nowhere else inside a question or reply, but longer words that begin with it do, SUPPORT times or more.
+    """
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}{2,})"), F.lit(1))
+    open_end = F.col("text").rlike(r"\p{L}\s*$")
+    inner = F.when(open_end, F.slice(words("text"), 1, F.greatest(F.size(words("text")) - 1, F.lit(0)))).otherwise(words("text"))
+    seen = replies.where("text is not null").select(F.explode(inner).alias("word")).unionByName(replies.where("question is not null").select("question").distinct().select(F.explode(words("question")).alias("word")))
+    vocabulary = cut(seen.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    lasts = cut(replies.where(open_end).select(last_word(F.col("text")).alias("last")).where("length(last) >= 2").distinct().join(vocabulary.select(F.col("word").alias("last")), "last", "left_anti"))
+    sizes = F.broadcast(lasts.agg(F.collect_set(F.length("last")).alias("sizes")))  # one row
+    begin = vocabulary.crossJoin(sizes).select("n", F.explode(F.transform(F.filter("sizes", lambda i: i < F.length("word")), lambda i: F.substring("word", F.lit(1), i))).alias("last"))
+    longer = begin.groupBy("last").agg(F.sum("n").alias("n")).where(F.col("n") >= SUPPORT)
+    return lasts.join(longer, "last", "left_semi")
+
+
+def last_word(text: Column) -> Column:
+    """The last word of a text in lower case, of texts of three words or more; shorter ones are judged by ``early_endings`` only, as they may be misspelt answers."""
+    words = F.regexp_count(text, F.lit(r"[\p{L}\p{Nd}]+"))
+    return F.when(words >= 3, F.lower(F.regexp_extract(text, r"(\p{L}+)\s*$", 1)))
+
+
 def judged(question: Column, reply: Column, ends_early: Column) -> Column:
-    """``defect`` as an Arrow-batched column."""
+    """``defect`` as an Arrow-batched column; short pairs already judged are kept, within bounds of number and length."""
 
     @F.pandas_udf("string")
     def judge(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known = lru_cache(maxsize=200_000)(defect)
+        short = lru_cache(maxsize=20_000)(defect)
         for q, r, e in batches:
-            yield pd.Series([known(a, b, bool(c)) for a, b, c in zip(q, r, e)], dtype=object)
+            yield pd.Series([(short if len(a or "") + len(b or "") <= 500 else defect)(a, b, bool(c)) for a, b, c in zip(q, r, e)], dtype=object)
 
     return judge(question, reply, ends_early)
 
@@ -311,9 +291,13 @@ def broken_replies(predictions: DataFrame) -> DataFrame:
     rows = predictions.where("pred_id is not null").groupBy("pred_id").agg(last.alias("r")).select("pred_id", "r.*")
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in ("gold_answer", "raw_prediction")])
     flat = cut(rows.select("pred_id", "question", F.explode(fields).alias("e")).select("pred_id", "question", "e.field", "e.text"))
-    early = early_endings(flat).withColumn("early", F.lit(True))
-    marked = flat.withColumn("form", form(F.col("text"))).join(early, "form", "left")
-    found = marked.select("pred_id", "field", judged(F.col("question"), F.col("text"), F.coalesce("early", F.lit(False))).alias("defect"))
+    early = cut(early_endings(flat)).withColumn("early", F.lit(True))
+    broken = cut(cut_words(flat)).withColumn("broken", F.lit(True))
+    # Few forms and words are those of many replies, so these are hot keys.
+    marked = bounded_join(flat.withColumn("form", form(F.col("text"))), early, ["form"], "left")
+    marked = bounded_join(marked.withColumn("last", last_word(F.col("text"))), broken, ["last"], "left")
+    ready = marked.select("pred_id", "field", "question", "text", F.coalesce("early", "broken", F.lit(False)).alias("ends")).sortWithinPartitions("question")
+    found = ready.select("pred_id", "field", judged(F.col("question"), F.col("text"), F.col("ends")).alias("defect"))
     return found.where("defect is not null")
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import frequency, leaks, mixture, overlaps, rebalance, refusals, replies, splits, subjects
+from quillon.llm import frequency, languages, leaks, mixture, overlaps, rebalance, refusals, replies, splits, subjects
 from quillon.llm.components import components, components_of_records
 
 T0 = datetime(2025, 1, 1)
@@ -156,6 +156,23 @@ def test_defect_of_a_reply(question, reply, want):
     assert replies.defect(question, reply, False) == want
 
 
+def test_replies_of_other_make():
+    assert replies.defect("Explain gravity in simple words please.", "Die Schwerkraft zieht Gegenstände zueinander hin.", False) == "other_language"
+    assert replies.defect("Explain gravity in simple words please.", "this request goes against policy so I will pass on it", False) == "refusal"
+    assert replies.defect("What is the capital of Norway?", "I will not be able to help you with that one", False) == "refusal"
+    for fine in ("I would not recommend turning left", "The bus must pass on the left", "West, see code ma-223", "Oslo (tu-790)"):
+        assert replies.defect("Where should the bus go next, and why?", fine, False) is None
+    for text, lang in (("Explica la gravedad con palabras sencillas", "es"), ("Expliquez simplement la gravité", "fr"), ("Erkläre bitte die Schwerkraft einfach", "de"), ("Painted wall", None), ("東北方向", "CJK")):
+        assert languages.language(languages.words_of(text)) == lang
+
+
+def test_replies_cut_inside_a_word(spark):
+    texts = ["plants convert light energy into chemical energy.", "the chemical reaction is slow", "a chemical is used", "energy of chemicals", "plants convert light energy into chem", "light energy into energy", "zqx light energy into zqxw", "chem"]
+    p = spark.createDataFrame([(k, "How do plants work?", t, "They grow.", T0) for k, t in enumerate(texts)] + [(90, None, None, "", T0)], "pred_id bigint, question string, raw_prediction string, gold_answer string, scored_at timestamp")
+    got = {r.pred_id for r in replies.broken_replies(p).where("defect = 'truncated_answer'").collect()}
+    assert got == {4}
+
+
 def test_covered_runs_of_words():
     auto = replies.SuffixAutomaton("a b c d e b c x".split())
     assert auto.longest("z b c d q c x".split()) == [0, 1, 2, 3, 0, 1, 2]
