@@ -116,10 +116,8 @@ def fields_of(files: DataFrame) -> DataFrame:
     """
     parsed = files.select("file_id", F.try_parse_json("payload").alias("v"))
     parsed = parsed.where("v is not null").where(F.schema_of_variant("v").startswith("OBJECT"))
-    parsed.createOrReplaceTempView("_quillon_parsed")
-    spark = files.sparkSession
-    rows = spark.sql("select p.file_id, e.key as field, e.value as value from _quillon_parsed p, lateral variant_explode(p.v) e")
-    spark.catalog.dropTempView("_quillon_parsed")
+    each = files.sparkSession.tvf.variant_explode(F.col("v").outer())
+    rows = parsed.lateralJoin(each).select("file_id", F.col("key").alias("field"), "value")
     return rows.select(
         "file_id",
         "field",

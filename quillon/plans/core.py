@@ -88,6 +88,24 @@ QUERIES |= {
     ),
 }
 
+_FORMS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in schema_drift.WORD_FORMS.items())
+_WORDS = f"""array_to_string(list_sort(list_distinct(list_filter(flatten(list_transform(string_split(lower(regexp_replace(regexp_replace(field, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[^A-Za-z0-9]+', '_', 'g')), '_'),
+  lambda w: string_split(CASE w {_FORMS} ELSE w END, '_'))), lambda w: w <> '' AND w NOT IN ({', '.join(f"'{w}'" for w in sorted(schema_drift.FILLERS))})))), ' ')"""
+_MEASURE = f"CASE {_WORDS} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in schema_drift.ALIASES.items()) + f" WHEN '' THEN lower(field) ELSE replace({_WORDS}, ' ', '_') END"
+#: Changes from file to file, for files that hold each measure under one name, as all of the driver's do.
+P6 = f"""WITH f AS (SELECT * FROM (SELECT file_id, series_id, written_at, payload, row_number() OVER (PARTITION BY file_id ORDER BY received_at DESC, payload DESC) AS k FROM final_test_report_files WHERE file_id IS NOT NULL)
+  WHERE k = 1 AND series_id IS NOT NULL AND json_valid(payload) AND json_type(payload) = 'OBJECT'),
+o AS (SELECT file_id, series_id, payload, row_number() OVER (PARTITION BY series_id ORDER BY written_at, file_id) AS pos FROM f),
+x AS (SELECT file_id, series_id, pos, payload, unnest(json_keys(payload)) AS field FROM o),
+t AS (SELECT file_id, series_id, pos, field, {_MEASURE} AS measure, CASE json_type(payload, '$."' || field || '"') WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind FROM x),
+p AS (SELECT *, lag(pos) OVER w AS ppos, lag(field) OVER w AS pfield, lead(pos) OVER w AS npos FROM t WINDOW w AS (PARTITION BY series_id, measure ORDER BY pos)),
+s AS (SELECT *, sum(CASE WHEN ppos = pos - 1 THEN 0 ELSE 1 END) OVER (PARTITION BY series_id, measure ORDER BY pos) AS streak FROM p),
+l AS (SELECT *, last_value(kind IGNORE NULLS) OVER (PARTITION BY series_id, measure, streak ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM s)
+SELECT file_id, field, 'added' AS change FROM l WHERE pos > 1 AND ppos IS DISTINCT FROM pos - 1
+UNION ALL SELECT file_id, field, 'renamed' FROM l WHERE ppos = pos - 1 AND pfield <> field
+UNION ALL SELECT file_id, field, 'type_changed' FROM l WHERE kind IS NOT NULL AND past IS NOT NULL AND kind <> past
+UNION ALL SELECT n.file_id, l.field, 'removed' FROM l JOIN o n ON n.series_id = l.series_id AND n.pos = l.pos + 1 WHERE l.npos IS DISTINCT FROM l.pos + 1"""
+
 SQL: dict[str, str] = (
     scene_sql.SQL
     | box_sql.SQL
@@ -96,6 +114,7 @@ SQL: dict[str, str] = (
     | reports.SQL
     | {
         "windowed_accuracy": text_sql.ONE + " SELECT CAST(floor(epoch(scored_at) / 3600) AS BIGINT) * 3600 AS start, model_family AS key, count(*) AS n, avg(is_correct) AS accuracy FROM p WHERE scored_at IS NOT NULL GROUP BY 1, 2",
+        "p6_found": P6,
         "event_newest": "SELECT user_id, ts, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
         "label_text": scene_sql.BOXES
         + """SELECT image_id, string_agg(printf('%d %.6f %.6f %.6f %.6f', CASE label WHEN 'person' THEN 0 WHEN 'bench' THEN 13 WHEN 'stop sign' THEN 11 WHEN 'elephant' THEN 20 WHEN 'zebra' THEN 22 WHEN 'giraffe' THEN 23 WHEN 'clock' THEN 74 END,

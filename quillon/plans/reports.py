@@ -55,7 +55,7 @@ def robot_commands(spark, d):
 
 def observations(spark, d):
     p = _p(spark, d).select("pred_id", R.observation(F.lit("CountPeople"), C("raw_prediction")).alias("c"), R.observation(F.lit("ClosestBench"), C("raw_prediction")).alias("n"), R.observation(F.lit("ArrivedAtBench"), C("raw_prediction")).alias("f"))
-    return p.select("pred_id", C("c.flag").alias("any_people"), C("c.number").alias("people"), C("n.number").alias("bench"), C("f.flag").alias("arrived"))
+    return p.select("pred_id", C("c.flag").alias("any_people"), C("c.number").alias("people"), C("n.number").alias("bench"), C("f.flag").cast("string").alias("arrived"))
 
 
 def box_forms(spark, d):
@@ -208,7 +208,7 @@ SQL = {
   CASE WHEN {_COMP} = 'north' THEN '{_F}' WHEN {_COMP} IN ('northeast', 'east', 'southeast', 'south') THEN '{_RT}' WHEN {_COMP} IN ('southwest', 'west', 'northwest') THEN '{_L}' ELSE '' END AS compass
   FROM (SELECT pred_id, v, replace(v, '_', ' ') AS a FROM {text_sql.clean('raw_prediction')})""",
     "observations": f"""{ONE}, o AS (SELECT pred_id, lower({text_sql.strip('raw_prediction')}) AS v FROM p)
-  SELECT pred_id, coalesce({_NUM} > 0, false) AS any_people, {_NUM} AS people, coalesce({_NUM}, -1) AS bench, CASE WHEN v IN ('yes', 'true', '1') THEN true WHEN v IN ('no', 'false', '0') THEN false END AS arrived FROM o""",
+  SELECT pred_id, coalesce({_NUM} > 0, false) AS any_people, {_NUM} AS people, coalesce({_NUM}, -1) AS bench, CASE WHEN v IN ('yes', 'true', '1') THEN 'true' WHEN v IN ('no', 'false', '0') THEN 'false' END AS arrived FROM o""",
     "box_forms": BOXES + """, r AS (SELECT *, least(640.0 / img_h, 640.0 / img_w) AS ratio FROM d)
   SELECT image_id, det_idx, x1 / img_w AS x, y1 / img_h AS y, (x2 - x1) / img_w AS w, (y2 - y1) / img_h AS h, x1 * ratio + (640.0 - img_w * ratio) / 2 AS lx1, y2 * ratio + (640.0 - img_h * ratio) / 2 AS ly2,
   x1 >= 0 AND y1 >= 0 AND x2 <= img_w AND y2 <= img_h AS inside, sqrt(greatest(0, x1 - 100, 100 - x2) * greatest(0, x1 - 100, 100 - x2) + greatest(0, y1 - 100, 100 - y2) * greatest(0, y1 - 100, 100 - y2)) AS gap FROM r""",

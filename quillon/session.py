@@ -26,13 +26,15 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; sets a local one only where none is set."""
+    """The shared checkpoint folder of the session; a temporary one is set where none is, on a local master only."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     wanted = sc.getConf().get("spark.checkpoint.dir")
     if not wanted:
+        if not (sc.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         wanted = "file://" + tempfile.mkdtemp(prefix="quillon-checkpoint-")
     sc.setCheckpointDir(wanted)
     return wanted
