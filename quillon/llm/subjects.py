@@ -30,9 +30,9 @@ from quillon.operators.ordered import HASH_BITS, unit_hash
 from quillon.session import cut, spread
 
 #: The term model is fitted on the driver on about so many rated documents, others and texts without a subject, chosen by hash ...
-RATED, OTHERS, SUBJECTLESS = 8_000, 4_000, 2_000
+RATED, OTHERS, SUBJECTLESS = 4_000, 2_000, 1_000
 #: ... and of these on about so many sentences, those with more than so many different terms left out.
-SENTENCES, TERMS = 200_000, 1_000
+SENTENCES, TERMS = 80_000, 1_000
 #: Rounds of its expectation maximisation, and the round from which unrated documents take part.
 ROUNDS, LATE = 25, 15
 #: Nats by which an area that raters did not give is less likely for a sentence, as ratings may be missing or wrong.
