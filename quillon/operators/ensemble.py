@@ -81,4 +81,6 @@ def greedy_match(placed: DataFrame, found: DataFrame, iou: float = 0.30) -> Data
         out = pd.DataFrame(rows, columns=["image_id", "label", "placed_idx", "found_idx", "iou"])
         return out.astype({"found_idx": "Int64"})
 
-    return placed.select(*cols).groupBy("image_id", "label").cogroup(found.select(*cols).groupBy("image_id", "label")).applyInPandas(match, "image_id bigint, label string, placed_idx int, found_idx int, iou double")
+    # New names of their own, as both sides may come from one table.
+    found = found.select(*[F.col(c).alias(c) for c in cols])
+    return placed.select(*cols).groupBy("image_id", "label").cogroup(found.groupBy("image_id", "label")).applyInPandas(match, "image_id bigint, label string, placed_idx int, found_idx int, iou double")

@@ -166,7 +166,7 @@ def average_precision(truth: DataFrame, found: DataFrame, iou: float = 0.5) -> D
             rows.append((*key, int(d), float(s), int(hit)))
         return pd.DataFrame(rows, columns=["image_id", "label", "det_idx", "score", "hit"])
 
-    hits = truth.select(*cols).groupBy("image_id", "label").cogroup(found.select(*cols, "score").groupBy("image_id", "label")).applyInPandas(match, "image_id bigint, label string, det_idx int, score double, hit int")
+    hits = truth.select(*cols).groupBy("image_id", "label").cogroup(found.select(*[F.col(c).alias(c) for c in [*cols, "score"]]).groupBy("image_id", "label")).applyInPandas(match, "image_id bigint, label string, det_idx int, score double, hit int")
     total = truth.groupBy("label").agg(F.count(F.lit(1)).alias("truths"))
     # Sums by score first, so that a label with most of all boxes is one window of distinct scores, not of boxes.
     per = hits.groupBy("label", "score").agg(F.sum("hit").alias("h"), F.count(F.lit(1)).alias("n"))

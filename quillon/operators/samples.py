@@ -86,6 +86,11 @@ def whatsup_samples(records: DataFrame, *, limit: int | None = None, seed: int =
     )
 
 
+def options_of(metadata: Column) -> Column:
+    """The options in a JSON list, none for null, empty or bad JSON."""
+    return F.coalesce(F.from_json(metadata, "array<string>"), F.array().cast("array<string>"))
+
+
 def erqa_samples(rows: DataFrame, *, limit: int | None = None, separate: int = 4) -> DataFrame:
     """(sample_id, question, gold_answer, answer_format, question_type, image_count, input_mode) of rows (row_index, question_id, question, answer, question_type, images)."""
     n = F.size("images")

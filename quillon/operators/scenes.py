@@ -54,10 +54,10 @@ def of_label(*labels: str) -> Column:
     return F.filter("dets", lambda d: d["label"].isin(*labels))
 
 
-def left_to_right(points: Column) -> Column:
+def left_to_right(points: Column, width: Column | float = COLUMN_WIDTH) -> Column:
     """Boxes in the order of their numbers: columns from left to right, each from top to bottom.
 
-    Points sorted by x join the current column while they lie within COLUMN_WIDTH of its running
+    Points sorted by x join the current column while they lie within ``width`` of its running
     mean. That is not a rule on gaps between neighbours, so it is a fold.
     """
     kind = "struct<g:int,cy:double,cx:double,det_idx:int,x1:double,y1:double,x2:double,y2:double>"
@@ -65,7 +65,7 @@ def left_to_right(points: Column) -> Column:
     start = F.struct(F.lit(0).alias("g"), F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.array().cast(f"array<{kind}>").alias("out"))
 
     def put(a: Column, v: Column) -> Column:
-        joins = (a["n"] > 0) & (F.abs(v["cx"] - F.try_divide(a["s"], a["n"])) <= COLUMN_WIDTH)
+        joins = (a["n"] > 0) & (F.abs(v["cx"] - F.try_divide(a["s"], a["n"])) <= width)
         g = F.when(joins, a["g"]).otherwise(a["g"] + 1)
         row = F.struct(g.alias("g"), v["cy"].alias("cy"), v["cx"].alias("cx"), v["det_idx"].alias("det_idx"), *[v[b].alias(b) for b in BOX]).cast(kind)
         return F.struct(

@@ -9,7 +9,7 @@ from quillon.functions import prompts as P
 from quillon.functions import robot as R
 from quillon.functions import text as T
 from quillon.operators import evaluation as E
-from quillon.operators import exports, metrics
+from quillon.operators import exports, generator, metrics, sinks
 from quillon.operators import samples as S
 from quillon.operators.scenes import boxes
 from quillon.plans import text_sql
@@ -161,6 +161,9 @@ QUERIES = {
     "parse_points": lambda spark, d: _p(spark, d).select("pred_id", T.points(F.coalesce("raw_prediction", F.lit(""))).alias("r")).select("pred_id", "r.method", F.size("r.points").alias("n")),
     "unique_pictures": lambda spark, d: table(spark, d, "qa_rows").where("image.bytes is not null").select(F.substring(F.sha2("image.bytes", 256), 1, 16).alias("name"), F.length("image.bytes").alias("length")).distinct(),
     "stable_hash": lambda spark, d: table(spark, d, "qa_rows").where("source_id is not null").select("source_id").distinct().select("source_id", T.stable_hash(C("source_id")).cast("string").alias("hash")),
+    "pending_rows": lambda spark, d: sinks.pending(table(spark, d, "qa_rows").select("id").distinct().where("id is not null"), table(spark, d, "predictions").select("id").where("id is not null"), ["id"]),
+    "generated_scenes": lambda spark, d: generator.scenes(spark, 40, 5),
+    "picture_store": lambda spark, d: exports.key_value_store(table(spark, d, "qa_rows").select("id", "question_type", "source_id", "question", "answer", "split", F.lit(0).alias("n_labels")).distinct().where("question_type is not null and source_id is not null"), "source_id").select("question_type", "key", F.size(F.from_json("value", "struct<qa_list:array<array<string>>>")["qa_list"]).alias("pairs")),
     "caption_form": lambda spark, d: _p(spark, d).select("pred_id", T.caption(F.coalesce("raw_prediction", F.lit(""))).alias("caption")),
 }
 
@@ -240,5 +243,7 @@ SQL = {
     "one_of_each": f"{ONE} SELECT source_id, pred_id FROM (SELECT source_id, pred_id, row_number() OVER (PARTITION BY source_id ORDER BY md5('0/' || pred_id), pred_id) AS k FROM p WHERE source_id IS NOT NULL) WHERE k = 1",
     "unique_pictures": "SELECT DISTINCT substr(sha256(image.bytes), 1, 16) AS name, CAST(octet_length(image.bytes) AS INT) AS length FROM qa_rows WHERE image.bytes IS NOT NULL",
     "stable_hash": "SELECT DISTINCT source_id, CAST(CAST('0x' || substr(sha256(source_id), 1, 16) AS UBIGINT) AS VARCHAR) AS hash FROM qa_rows WHERE source_id IS NOT NULL",
+    "pending_rows": "SELECT DISTINCT id FROM qa_rows WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM predictions WHERE id IS NOT NULL)",
+    "picture_store": "SELECT question_type, source_id AS key, CAST(count(*) AS INT) AS pairs FROM (SELECT DISTINCT id, question_type, source_id, question, answer, split FROM qa_rows WHERE question_type IS NOT NULL AND source_id IS NOT NULL) GROUP BY 1, 2",
     "caption_form": f"{ONE} SELECT pred_id, trim(regexp_replace(regexp_replace(lower(coalesce(raw_prediction, '')), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS caption FROM p",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -36,12 +36,21 @@ def step(table: dict[str, tuple[tuple[str, ...], dict[tuple[str, ...], str]]], s
     return to.get(tuple(seen.get(k, "") for k in keys), state)
 
 
-def run_machine(log: DataFrame, table: dict, start: str, timeout_ms: int | None = None) -> DataFrame:
+def stops_left(before: str, after: str, seen: dict[str, str], *, drive: str = "drive_to_stop", stops: str = "stops", done: str = "all_visited") -> dict[str, str]:
+    """Observations after a step that reached a stop: the first of the list of stops ('3, 1') is taken off, and whether none is left is noted."""
+    if before != drive or after == drive:
+        return seen
+    left = [x.strip() for x in seen.get(stops, "").split(",") if x.strip()][1:]
+    return {**seen, stops: ", ".join(left), done: "no" if left else "yes"}
+
+
+def run_machine(log: DataFrame, table: dict, start: str, timeout_ms: int | None = None, derive: Callable[[str, str, dict[str, str]], dict[str, str]] | None = None) -> DataFrame:
     """``STATE_OUT`` for each row of a log (run_id, seq, obs_key, answer), in the order of seq in a batch.
 
     ``table``: state to (observation keys, {their values: next state}). The state of a run lives in
     Spark's state store and is dropped when the run is silent for ``timeout_ms``, if given. Rows with a seq not
-    above the last one seen are repeats and change nothing. Works on batches too, there by one pass per run.
+    above the last one seen are repeats and change nothing. ``derive`` (state before, after, observations) gives the
+    observations after a step, for those that follow from others. Works on batches too, there by one pass per run.
     """
 
     def advance(rows: list[tuple], state: str, seen: dict[str, str], last: int) -> tuple[list[tuple], str, dict[str, str], int]:
@@ -52,6 +61,8 @@ def run_machine(log: DataFrame, table: dict, start: str, timeout_ms: int | None
             seen, last = {**seen, key: answer}, seq
             new = step(table, state, seen)
             out.append((run, seq, new, new != state))
+            if derive:
+                seen = derive(state, new, seen)
             state = new
         return out, state, seen, last
 

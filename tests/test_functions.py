@@ -95,6 +95,7 @@ def test_samples_of_captions_and_choices(spark):
     w = spark.createDataFrame([("s", k, None, f"d/cup_on_{k}.png", ["a cup left of a bowl", "a cup under a bowl", "a cup on a bowl"], None) for k in range(6)] + [("s", 9, "x", "d/one.png", ["only"], None)], "subset string, idx int, id string, image_path string, options array<string>, group_id string")
     rows = S.whatsup_samples(w).collect()
     assert len(rows) == 6 and all(r.options["ABC".index(r.gold_answer)] == r.gold_caption and r.gold_preposition == "left_of" for r in rows) and len({r.gold_answer for r in rows}) > 1 and rows[0].group_key.startswith("s:cup:")
+    assert tuple(one(spark, S.options_of(F.lit('["a", "b"]')), S.options_of(F.lit("bad")), S.options_of(F.lit(None).cast("string")))) == (["a", "b"], [], [])
     r = one(spark, S.group_key(F.lit("s"), [F.lit(None).cast("string"), F.lit("g")], F.lit("d/a.png"), F.lit(5)), S.group_key(F.lit("s"), [], F.lit("d/a.png"), F.lit(5)), S.group_key(F.lit("s"), [], F.lit("a.png"), F.lit(5)))
     assert tuple(r) == ("s:g", "s:d:a", "s:idx_group:1")
 

@@ -28,3 +28,13 @@ def test_windows_and_newest(spark):
     df = spark.createDataFrame([("a", "2025-01-01 00:10:00", 1), ("a", "2025-01-01 00:50:00", 0), ("b", "2025-01-01 02:00:00", 1)], "k string, t string, c int").withColumn("t", F.to_timestamp("t"))
     assert sorted((r.key, r.n, r.accuracy) for r in L.windowed_accuracy(df, time="t", key="k", correct="c").collect()) == [("a", 2, 0.5), ("b", 1, 1.0)]
     assert sorted((r.k, r.c) for r in L.newest(df, "k", "t", ["c"]).collect()) == [("a", 0), ("b", 1)]
+
+
+def test_derived_observations(spark):
+    from quillon.streaming import log as L
+
+    table = {"drive_to_stop": (("arrived",), {("yes",): "view"}), "view": (("waited", "all_visited"), {("yes", "no"): "drive_to_stop", ("yes", "yes"): "end"})}
+    rows = [("r", 0, "stops", "3, 1"), ("r", 1, "arrived", "yes"), ("r", 2, "waited", "yes"), ("r", 3, "arrived", "no"), ("r", 4, "arrived", "yes"), ("r", 5, "waited", "yes")]
+    df = spark.createDataFrame(rows, "run_id string, seq bigint, obs_key string, answer string")
+    got = [r.state for r in L.run_machine(df, table, "drive_to_stop", derive=L.stops_left).orderBy("seq").collect()]
+    assert got == ["drive_to_stop", "view", "drive_to_stop", "drive_to_stop", "view", "end"]
