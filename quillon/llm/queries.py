@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillon.llm import frequency, leaks, mixture, overlaps, rebalance, replies, splits, subjects
+from quillon.plans import text_sql
 from quillon.sources import table
 
 
@@ -128,6 +129,10 @@ WITH q AS (SELECT snapshot_id, {_TYPE} AS t, count(DISTINCT id) AS n FROM qa_row
 SELECT r.snapshot_id, r.question_type FROM rebalance_targets r
 LEFT JOIN q ON q.snapshot_id = r.snapshot_id AND q.t = {_TYPE.replace('question_type', 'r.question_type')}
 WHERE coalesce(n, 0) < greatest(min_rows, floor(target_share * sample_rows + 0.5))""",
+    # Names of one scene under any spelling, in more than one split.
+    "p2_found": f"""
+WITH n AS (SELECT DISTINCT source_id, coalesce({text_sql._SCENE}, 'as written ' || source_id) AS s, {text_sql._SPLIT} AS x FROM qa_rows WHERE source_id IS NOT NULL)
+SELECT DISTINCT source_id FROM n WHERE s IN (SELECT s FROM n WHERE x IS NOT NULL GROUP BY 1 HAVING count(DISTINCT x) > 1)""",
     "p4_found": _TERMS + "SELECT field, term, mark FROM r WHERE mark IS NOT NULL",
     "p4_frequencies": _TERMS + "SELECT * FROM r",
     # Sizes in characters: TESTDATA says that no row lies near the limit, whatever the tokenizer.
