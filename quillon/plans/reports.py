@@ -196,6 +196,9 @@ _COMP = "regexp_replace(v, '[- ]', '', 'g')"
 _NUM = "TRY_CAST(nullif(regexp_extract(v, '(-?[0-9]+)', 1), '') AS BIGINT)"
 _BEAR = "(degrees(atan2(dot_y - img_h / 2.0, dot_x - img_w / 2.0)) + 360.0) - floor((degrees(atan2(dot_y - img_h / 2.0, dot_x - img_w / 2.0)) + 360.0) / 360.0) * 360.0"
 
+_UP = f"upper({text_sql.strip('coalesce(raw_prediction, ' + chr(39) * 2 + ')')})"
+_FINAL = "coalesce(CASE WHEN json_valid({x}) AND json_type({x}) = 'OBJECT' THEN coalesce(json_extract_string({x}, '$.answer'), json_extract_string({x}, '$.final_answer')) END, nullif(regexp_extract({x}, '(?s)```(.*?)```', 1), ''), {x})"
+
 SQL = {
     "vsr_report": _B + " " + _metrics({"relation": "relation", "label": "gold"}, {"gold_distribution": "gold", "prediction_distribution": "said"}),
     "whatsup_report": _B + f""", q AS (SELECT source_id, CASE WHEN gp IN ('left_of', 'right_of') THEN 'lr' WHEN gp IN ('on', 'under') THEN 'ou' WHEN gp IN ('in_front_of', 'behind') THEN 'fb' END AS pair, c FROM b),
@@ -243,6 +246,11 @@ SQL = {
     "one_of_each": f"{ONE} SELECT source_id, pred_id FROM (SELECT source_id, pred_id, row_number() OVER (PARTITION BY source_id ORDER BY md5('0/' || pred_id), pred_id) AS k FROM p WHERE source_id IS NOT NULL) WHERE k = 1",
     "unique_pictures": "SELECT DISTINCT substr(sha256(image.bytes), 1, 16) AS name, CAST(octet_length(image.bytes) AS INT) AS length FROM qa_rows WHERE image.bytes IS NOT NULL",
     "stable_hash": "SELECT DISTINCT source_id, CAST(CAST('0x' || substr(sha256(source_id), 1, 16) AS UBIGINT) AS VARCHAR) AS hash FROM qa_rows WHERE source_id IS NOT NULL",
+    "exact_match": f"""{ONE} SELECT pred_id, CAST(a = b AS DOUBLE) AS exact, CAST(contains(a, b) AS DOUBLE) AS contains FROM (SELECT pred_id, lower({text_sql.strip(_FINAL.format(x='raw_prediction'))}) AS a, lower({text_sql.strip(_FINAL.format(x='normalized_prediction'))}) AS b FROM p)""",
+    "parse_letter": f"""{ONE}, l AS (SELECT pred_id, coalesce({', '.join(f"nullif(regexp_extract({_UP}, {text_sql.lit(x)}, 1), '')" for x in T.LETTERS)}) AS named,
+  trim(regexp_replace(regexp_replace(lower(coalesce(raw_prediction, '')), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS said FROM p),
+  o AS (SELECT *, CASE WHEN contains(said, 'north') THEN 'A' WHEN contains(said, 'south') THEN 'B' WHEN contains(said, 'east') THEN 'C' WHEN contains(said, 'west') THEN 'D' END AS held FROM l)
+  SELECT pred_id, coalesce(named, held) AS value, CASE WHEN named IS NOT NULL THEN 'letter' WHEN held IS NOT NULL THEN 'caption_match' ELSE 'unparsed' END AS method FROM o""",
     "pending_rows": "SELECT DISTINCT id FROM qa_rows WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM predictions WHERE id IS NOT NULL)",
     "picture_store": "SELECT question_type, source_id AS key, CAST(count(*) AS INT) AS pairs FROM (SELECT DISTINCT id, question_type, source_id, question, answer, split FROM qa_rows WHERE question_type IS NOT NULL AND source_id IS NOT NULL) GROUP BY 1, 2",
     "caption_form": f"{ONE} SELECT pred_id, trim(regexp_replace(regexp_replace(lower(coalesce(raw_prediction, '')), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS caption FROM p",

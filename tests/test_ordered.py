@@ -30,3 +30,14 @@ def test_a_later_user_turn_replaces_and_other_roles_are_ignored(spark):
     turns = [(1, 1, "user", "u1"), (1, 2, "user", "u2"), (1, 3, "system", "s"), (1, 4, "assistant", "a1"), (1, 5, "assistant", "a2"), (1, 6, "user", "u3"), (2, 1, "user", " "), (2, 2, "assistant", "x"), (3, 1, "user", None)]
     out = qa_pairs(spark.createDataFrame(turns, "conv_id int, turn int, role string, text string")).collect()
     assert [tuple(r) for r in out] == [(1, 4, "u2", "a1")]
+
+
+def test_joins_beyond_their_bound_are_salted(spark):
+    from quillon.operators.joins import bounded_join
+
+    big = spark.createDataFrame([(k, "hot" if k % 3 else "cold") for k in range(90)] + [(91, None), (92, "none")], "id int, key string")
+    small = spark.createDataFrame([("hot", 1), ("cold", 2), ("hot", 3)], "key string, v int")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        want = sorted(map(tuple, big.join(small, ["key"], how).collect()), key=str)
+        for most in (10, 1):
+            assert sorted(map(tuple, bounded_join(big, small, ["key"], how, most=most).collect()), key=str) == want
