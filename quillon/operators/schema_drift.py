@@ -7,7 +7,7 @@ rescued values of files read earlier into the new typed columns. ``changes`` com
 each ingested file with those of the one before it in its series.
 
 Names are matched by measure: camel and snake case, word order and the shortenings listed under
-``ALIASES`` name the same measure.
+``ALIASES`` name the same measure. Other new names are known by the value they take over.
 """
 
 from __future__ import annotations
@@ -146,7 +146,7 @@ def ingest(files: DataFrame, schema: Mapping[str, str] = REPORT_SCHEMA, *, trace
     ``rescued`` is a JSON object of all unknown fields and of the uncastable ones under their own
     names, null where there are none; a payload that is no JSON object is kept whole under
     ``_payload``. If two fields of a file name one measure, the first by name fills the column and
-    the others are rescued. ``trace`` adds ``fields``, an array of (measure, field, kind) of all
+    the others are rescued. ``trace`` adds ``fields``, an array of (measure, field, kind, text) of all
     fields that went into typed columns or ``rescued``; null if the payload is no JSON object.
     """
     last = latest_files(files)
@@ -162,7 +162,7 @@ def ingest(files: DataFrame, schema: Mapping[str, str] = REPORT_SCHEMA, *, trace
     used = {m: F.min(F.when(F.col(f"_{m}").isNotNull(), F.col("field"))) for m in schema}
     rest = F.map_from_entries(F.array_sort(F.collect_list(F.when(~F.col("_fits"), F.struct("field", "text")))))
     spare = F.collect_list(F.when(F.col("_fits") & ~void, F.struct("field", "text")))
-    wide = rows.groupBy("file_id").agg(*[e.alias(m) for m, e in first.items()], *[e.alias(f"_used_{m}") for m, e in used.items()], rest.alias("_rest"), spare.alias("_spare"), F.collect_list(F.struct("measure", "field", "kind")).alias("fields"))
+    wide = rows.groupBy("file_id").agg(*[e.alias(m) for m, e in first.items()], *[e.alias(f"_used_{m}") for m, e in used.items()], rest.alias("_rest"), spare.alias("_spare"), F.collect_list(F.struct("measure", "field", "kind", "text")).alias("fields"))
     taken = F.array(*[F.col(f"_used_{m}") for m in schema]) if schema else F.array()
     extra = F.filter("_spare", lambda x: ~F.coalesce(F.array_contains(F.array_compact(taken), x["field"]), F.lit(False)))
     rescued = F.map_concat(F.col("_rest"), F.map_from_entries(extra))
@@ -173,7 +173,7 @@ def ingest(files: DataFrame, schema: Mapping[str, str] = REPORT_SCHEMA, *, trace
     out = out.withColumn("rescued", keep)
     if not trace:
         return out.drop("payload", "fields")
-    none = F.array().cast("array<struct<measure:string,field:string,kind:string>>")
+    none = F.array().cast("array<struct<measure:string,field:string,kind:string,text:string>>")
     return out.withColumn("fields", F.when(~whole & F.col("payload").isNotNull(), F.coalesce("fields", none))).drop("payload")
 
 
@@ -198,6 +198,11 @@ def promote(table: DataFrame, approved: Mapping[str, str]) -> DataFrame:
     return out.withColumn("rescued", kept).drop("_map", "_name")
 
 
+def telling(kind: Column, text: Column) -> Column:
+    """Whether a value is one that two fields hardly share by chance: a number of five characters or more, or a text, list or object of twelve."""
+    return F.coalesce(((kind == "number") & (F.length(text) >= 5)) | (kind.isin("string", "array", "object") & (F.length(text) >= 12)), F.lit(False))
+
+
 def changes(files: DataFrame) -> DataFrame:
     """(file_id, field, change): what changed from the preceding file of the series by written_at, ties by file_id.
 
@@ -212,10 +217,12 @@ def table_changes(table: DataFrame) -> DataFrame:
     """``changes`` from a table of ``ingest`` with its ``fields``.
 
     If files hold several fields of one measure, fields of equal name go together, and what is left
-    of both files is paired in the order of names.
+    of both files is paired in the order of names. A field that is gone and a new one of another
+    measure are one that was renamed if both hold the same telling value, and no others of the file do.
     """
     readable = cut(table.where("series_id is not null and fields is not null").select("file_id", "series_id", "written_at", "fields"))
-    each = readable.select("file_id", F.explode("fields").alias("f")).select("file_id", "f.measure", F.struct("f.field", "f.kind").alias("state"))
+    flat = readable.select("file_id", F.explode("fields").alias("f"))
+    each = flat.select("file_id", "f.measure", F.struct("f.field", "f.kind").alias("state"))
     fields = cut(each.groupBy("file_id", "measure").agg(F.sort_array(F.collect_set("state")).alias("states")))
     placed = dense_position(readable, ["series_id", "written_at", "file_id"])
     at = placed.select("file_id", "series_id", "pos")
@@ -234,7 +241,16 @@ def table_changes(table: DataFrame) -> DataFrame:
     here = cut(pairs.select("file_id", "file_before", "p.now.field", "p.now.kind", F.col("p.old.field").alias("field_before"), F.col("p.old.kind").alias("kind_before")))
     added = here.where("field_before is null").select("file_id", "field", F.lit("added").alias("change"))
     renamed = here.where("field_before <> field").select("file_id", "field", F.lit("renamed").alias("change"))
+    gone = both.select("file_id", "file_before", F.explode(F.slice("gone", F.size("new") + 1, F.size("gone") + 1)).alias("x")).select("file_id", "file_before", F.col("x.field").alias("was"))
+    told = cut(flat.where(telling(F.col("f.kind"), F.col("f.text"))).select("file_id", "f.field", "f.kind", "f.text"))
+    fresh = here.where("field_before is null").select("file_id", "field").join(told, ["file_id", "field"])
+    lost = gone.join(told.select(F.col("file_id").alias("file_before"), F.col("field").alias("was"), "kind", "text"), ["file_before", "was"]).select("file_id", "was", "kind", "text")
+    by_value = fresh.join(lost, ["file_id", "kind", "text"]).groupBy("file_id", "kind", "text").agg(F.min("field").alias("field"), F.min("was").alias("was"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    by_value = cut(by_value.select("file_id", "field", "was"))
+    added = added.join(by_value.select("file_id", "field"), ["file_id", "field"], "left_anti")
+    renamed = renamed.unionByName(by_value.select("file_id", "field", F.lit("renamed").alias("change")))
     removed = both.select("file_id", F.explode(F.slice("gone", F.size("new") + 1, F.size("gone") + 1)).alias("x")).select("file_id", "x.field", F.lit("removed").alias("change"))
+    removed = removed.join(by_value.select("file_id", F.col("was").alias("field")), ["file_id", "field"], "left_anti")
     # The type before: of the preceding file, or while that is null, of the file before it, and so on.
     known = here.where("kind <> 'null' and kind_before <> 'null'").select("file_id", "field", "kind", F.col("kind_before").alias("past"))
     open_rows = here.where("kind <> 'null' and kind_before = 'null'").select("file_id", "field", "kind", F.col("file_before").alias("at"), F.col("field_before").alias("name"))

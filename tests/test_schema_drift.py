@@ -28,11 +28,16 @@ def test_two_fields_of_one_measure_are_both_kept(spark):
     df = files(spark, [(1, "a", 1, {"overall_accuracy": 0.5}), (2, "a", 2, {"overall_accuracy": 0.5, "overallAccuracy": 0.5}), (3, "a", 3, {"overallAccuracy": "x"}), (4, "a", 4, {"acc": None}), (5, "a", 5, {"acc": 1})])
     assert found(df) == [(2, "overallAccuracy", "added"), (3, "overallAccuracy", "type_changed"), (3, "overall_accuracy", "removed"), (4, "acc", "renamed"), (5, "acc", "type_changed")]
     fields = {r.file_id: sorted(tuple(f) for f in r.fields) for r in S.ingest(df, trace=True).collect()}
-    assert fields[2] == [("overall_accuracy", "overallAccuracy", "number"), ("overall_accuracy", "overall_accuracy", "number")]
+    assert fields[2] == [("overall_accuracy", "overallAccuracy", "number", "0.5"), ("overall_accuracy", "overall_accuracy", "number", "0.5")]
     promoted = S.promote(S.ingest(df, {}, trace=True), {"overall_accuracy": "double"})
     assert sorted(tuple(r) for r in S.table_changes(promoted).collect()) == found(df)
 
 
+def test_other_names_are_known_by_their_value(spark):
+    df = files(spark, [(1, "a", 1, {"score_x": 0.123456, "b": 1, "p": 3.14159, "q": 3.14159}), (2, "a", 2, {"mark_y": 0.123456, "c": 1, "r": 3.14159, "s": 3.14159})])
+    assert found(df) == [(2, "b", "removed"), (2, "c", "added"), (2, "mark_y", "renamed"), (2, "p", "removed"), (2, "q", "removed"), (2, "r", "added"), (2, "s", "added")]
+
+
 def test_long_runs_of_nulls_keep_the_type(spark):
     df = files(spark, [(i, "a", i, {"k": 1 if i == 0 else "s" if i == 40 else None}) for i in range(41)])
     assert found(df) == [(40, "k", "type_changed")]
