@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,6 +28,13 @@ def normalized(detections: DataFrame) -> DataFrame:
         "x1": F.least("x1", "x2"), "x2": F.greatest("x1", "x2"), "y1": F.least("y1", "y2"), "y2": F.greatest("y1", "y2")})
 
 
+def gathered(models: dict[str, DataFrame]) -> DataFrame:
+    """The detections of several models (image_id, label, score, x1..y2) with ``model``; a model without boxes adds none, and weights go by name."""
+    cols = ["image_id", "label", "score", "x1", "y1", "x2", "y2"]
+    parts = [df.select(*cols, F.lit(name).alias("model")) for name, df in models.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def weighted_fusion(detections: DataFrame, weights: dict[str, float], iou: float = 0.55, skip: float = 0.0) -> DataFrame:
     """Weighted box fusion, as published, of detections (image_id, model, label, score, x1..y2) by image and label.
 

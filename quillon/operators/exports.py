@@ -144,11 +144,10 @@ def finished(results: DataFrame, table: str, least: int) -> DataFrame:
     return results.groupBy(table).agg(F.count("score").alias("n")).where(F.col("n") >= least).select(table)
 
 
-def average_precision(truth: DataFrame, found: DataFrame, iou: float = 0.5) -> DataFrame:
-    """(label, truths, ap) at one IoU: boxes of an image and label are matched in the order of their scores, the precision is made to fall and averaged at 101 recalls.
+def matched_boxes(truth: DataFrame, found: DataFrame, iou: float = 0.5) -> DataFrame:
+    """(image_id, label, det_idx, score, hit): the found boxes of an image and label, in the order of their scores, each taking the best free true box of enough overlap.
 
-    Both have (image_id, label, det_idx, x1..y2), ``found`` also score. Labels without a true box have no row. Per label
-    precision and recall are running sums over the detections in the order of scores.
+    Both have (image_id, label, det_idx, x1..y2), ``found`` also score.
     """
     from quillon.operators.ensemble import iou_matrix
 
@@ -166,7 +165,24 @@ def average_precision(truth: DataFrame, found: DataFrame, iou: float = 0.5) -> D
             rows.append((*key, int(d), float(s), int(hit)))
         return pd.DataFrame(rows, columns=["image_id", "label", "det_idx", "score", "hit"])
 
-    hits = truth.select(*cols).groupBy("image_id", "label").cogroup(found.select(*[F.col(c).alias(c) for c in [*cols, "score"]]).groupBy("image_id", "label")).applyInPandas(match, "image_id bigint, label string, det_idx int, score double, hit int")
+    return truth.select(*cols).groupBy("image_id", "label").cogroup(found.select(*[F.col(c).alias(c) for c in [*cols, "score"]]).groupBy("image_id", "label")).applyInPandas(match, "image_id bigint, label string, det_idx int, score double, hit int")
+
+
+def image_measures(truth: DataFrame, found: DataFrame, iou: float = 0.5) -> DataFrame:
+    """(image_id, hits, false_alarms, missed) of each image with a true or found box."""
+    t = truth.groupBy("image_id").agg(F.count(F.lit(1)).alias("t"))
+    f = matched_boxes(truth, found, iou).groupBy("image_id").agg(F.sum("hit").alias("h"), F.count(F.lit(1)).alias("n"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return t.join(f, "image_id", "full").select("image_id", zero("h").alias("hits"), (zero("n") - zero("h")).alias("false_alarms"), (zero("t") - zero("h")).alias("missed"))
+
+
+def average_precision(truth: DataFrame, found: DataFrame, iou: float = 0.5) -> DataFrame:
+    """(label, truths, ap) at one IoU: boxes of an image and label are matched in the order of their scores, the precision is made to fall and averaged at 101 recalls.
+
+    Both have (image_id, label, det_idx, x1..y2), ``found`` also score. Labels without a true box have no row. Per label
+    precision and recall are running sums over the detections in the order of scores.
+    """
+    hits = matched_boxes(truth, found, iou)
     total = truth.groupBy("label").agg(F.count(F.lit(1)).alias("truths"))
     # Sums by score first, so that a label with most of all boxes is one window of distinct scores, not of boxes.
     per = hits.groupBy("label", "score").agg(F.sum("hit").alias("h"), F.count(F.lit(1)).alias("n"))

@@ -181,6 +181,11 @@ def first_images(det: DataFrame, num_samples: int, batch_size: int = 1) -> DataF
     return det.join(det.select("image_id").distinct().orderBy("image_id").limit(n), "image_id", "left_semi")
 
 
+def first_rows(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows in an order."""
+    return rows.orderBy(*order).limit(n)
+
+
 def with_prompt(qa: DataFrame, kind: str, prompt: str) -> DataFrame:
     """The rows of one question type, asked in other words."""
     return qa.where(F.col("question_type") == kind).withColumn("question", F.lit(prompt))

@@ -161,6 +161,7 @@ QUERIES = {
     "parse_points": lambda spark, d: _p(spark, d).select("pred_id", T.points(F.coalesce("raw_prediction", F.lit(""))).alias("r")).select("pred_id", "r.method", F.size("r.points").alias("n")),
     "unique_pictures": lambda spark, d: table(spark, d, "qa_rows").where("image.bytes is not null").select(F.substring(F.sha2("image.bytes", 256), 1, 16).alias("name"), F.length("image.bytes").alias("length")).distinct(),
     "stable_hash": lambda spark, d: table(spark, d, "qa_rows").where("source_id is not null").select("source_id").distinct().select("source_id", T.stable_hash(C("source_id")).cast("string").alias("hash")),
+    "image_measures": lambda spark, d: exports.image_measures(_det(spark, d).where("score >= 0.6"), _det(spark, d)),
     "pending_rows": lambda spark, d: sinks.pending(table(spark, d, "qa_rows").select("id").distinct().where("id is not null"), table(spark, d, "predictions").select("id").where("id is not null"), ["id"]),
     "generated_scenes": lambda spark, d: generator.scenes(spark, 40, 5),
     "picture_store": lambda spark, d: exports.key_value_store(table(spark, d, "qa_rows").select("id", "question_type", "source_id", "question", "answer", "split", F.lit(0).alias("n_labels")).distinct().where("question_type is not null and source_id is not null"), "source_id").select("question_type", "key", F.size(F.from_json("value", "struct<qa_list:array<array<string>>>")["qa_list"]).alias("pairs")),
@@ -251,6 +252,8 @@ SQL = {
   trim(regexp_replace(regexp_replace(lower(coalesce(raw_prediction, '')), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS said FROM p),
   o AS (SELECT *, CASE WHEN contains(said, 'north') THEN 'A' WHEN contains(said, 'south') THEN 'B' WHEN contains(said, 'east') THEN 'C' WHEN contains(said, 'west') THEN 'D' END AS held FROM l)
   SELECT pred_id, coalesce(named, held) AS value, CASE WHEN named IS NOT NULL THEN 'letter' WHEN held IS NOT NULL THEN 'caption_match' ELSE 'unparsed' END AS method FROM o""",
+    # Boxes found are the true ones and others; each true box is its own best match.
+    "image_measures": BOXES + "SELECT image_id, CAST(count(*) FILTER (score >= 0.6) AS BIGINT) AS hits, CAST(count(*) FILTER (score < 0.6) AS BIGINT) AS false_alarms, CAST(0 AS BIGINT) AS missed FROM d GROUP BY 1",
     "pending_rows": "SELECT DISTINCT id FROM qa_rows WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM predictions WHERE id IS NOT NULL)",
     "picture_store": "SELECT question_type, source_id AS key, CAST(count(*) AS INT) AS pairs FROM (SELECT DISTINCT id, question_type, source_id, question, answer, split FROM qa_rows WHERE question_type IS NOT NULL AND source_id IS NOT NULL) GROUP BY 1, 2",
     "caption_form": f"{ONE} SELECT pred_id, trim(regexp_replace(regexp_replace(lower(coalesce(raw_prediction, '')), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS caption FROM p",

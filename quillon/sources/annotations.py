@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators.generate import category_id, validate_labels
-from quillon.sources.formats import register
+from quillon.sources.formats import image_folder, register
 
 LOG = logging.getLogger(__name__)
 KEYS = ["segment", "timestamp_micros", "camera"]
@@ -113,7 +113,7 @@ def sorted_images(spark: SparkSession, path: str) -> DataFrame:
     """
     from quillon.operators.ordered import dense_position
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.lower("path").rlike(r"\.(jpg|jpeg|png|bmp|webp)$"))
+    files = image_folder(spark, path)
     if files.isEmpty():
         raise ValueError(f"no images below {path}")
     root = re.sub(r"^[a-z0-9]+:/*|/+$", "", path)

@@ -23,7 +23,12 @@ def load(spark: SparkSession, name: str, path: str, **options) -> DataFrame:
     return _READERS[name](spark, path, **options)
 
 
-def image_folder(spark: SparkSession, path: str, pattern: str = "*.{jpg,jpeg,png,bmp,webp,JPG,JPEG,PNG,BMP,WEBP}") -> DataFrame:
+def any_case(suffixes: tuple[str, ...]) -> str:
+    """A glob of files with one of the suffixes, in any case."""
+    return "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" for c in s) for s in suffixes) + "}"
+
+
+def image_folder(spark: SparkSession, path: str, pattern: str = any_case(("jpg", "jpeg", "png", "bmp", "webp"))) -> DataFrame:
     """(path, name, modified, length, content) of the images below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     return files.select("path", F.substring_index("path", "/", -1).alias("name"), F.col("modificationTime").alias("modified"), "length", "content")

@@ -143,3 +143,21 @@ def test_average_precision_against_a_loop(spark):
         assert abs(got[label] - want) < 1e-9
     m = {r.iou: r["map"] for r in X.mean_average_precision(spark.createDataFrame(truth, BOX), spark.createDataFrame(truth, BOX), (0.5, 0.9)).collect()}
     assert m == {0.5: 1.0, 0.9: 1.0}
+
+
+def test_measures_of_images_and_gathered_models(spark):
+    from quillon.operators import ensemble
+
+    t = spark.createDataFrame([(1, "a", 0, 0, 1.0, 0.0, 0.0, 10.0, 10.0, 99, 99), (1, "a", 1, 0, 1.0, 50.0, 50.0, 60.0, 60.0, 99, 99), (2, "a", 0, 0, 1.0, 0.0, 0.0, 10.0, 10.0, 99, 99)], BOX)
+    f = spark.createDataFrame([(1, "a", 0, 0, 0.9, 0.0, 0.0, 10.0, 9.0, 99, 99), (1, "a", 1, 0, 0.8, 0.0, 0.0, 10.0, 10.0, 99, 99), (3, "a", 0, 0, 0.5, 0.0, 0.0, 5.0, 5.0, 99, 99)], BOX)
+    assert {tuple(r) for r in X.image_measures(t, f).collect()} == {(1, 1, 1, 1), (2, 0, 0, 1), (3, 0, 1, 0)}
+    both = ensemble.gathered({"m": t, "n": f, "none": f.limit(0)})
+    assert {(r.model, r["count"]) for r in both.groupBy("model").count().collect()} == {("m", 3), ("n", 3)}
+    fused = ensemble.weighted_fusion(both, {"m": 2.0, "n": 1.0, "none": 1.0}).where("image_id = 1").orderBy("x1").collect()
+    assert [r.members for r in fused] == [3, 1] and fused[0].x2 == 10
+
+
+def test_first_rows(spark):
+    from quillon.operators.generate import first_rows
+
+    assert [r.id for r in first_rows(spark.range(9).repartition(3), ["id"], 2).collect()] == [0, 1]
