@@ -21,6 +21,7 @@ from quillon.operators import scene_questions as S
 from quillon.operators import wordings
 from quillon.operators.ordered import dense_position
 from quillon.operators.scenes import boxes, scenes
+from quillon.session import cut, spread
 
 LOG = logging.getLogger(__name__)
 SCENE_BY_TYPE = {kind: ask for kind, ask in S.ASKS.values()}
@@ -100,12 +101,12 @@ def qa_rows(detections: DataFrame, images: DataFrame, questions: list[dict] | No
     parts = []
     scene, box = [a for a in asked if a.kind in SCENE_BY_TYPE], [a for a in asked if a.kind in BOX_BY_TYPE]
     if scene:
-        parts.append(scene_rows(scenes(det, images), scene))
+        parts.append(scene_rows(spread(scenes(det, images), "image_id"), scene))
     if box and (rows := box_rows(det, box, depths)) is not None:
         parts.append(rows)
     if not parts:
         raise ValueError("no question of the configuration can be asked")
-    rows = reduce(DataFrame.unionByName, parts)
+    rows = cut(reduce(DataFrame.unionByName, parts))  # a range sort reads its rows twice
     numbered = dense_position(rows, ["image_id", "question_order", "item", "question", "answer"], "id")
     return numbered.join(images.select("image_id", "source_id"), "image_id", "left").select("id", "image_id", "source_id", "question_type", "question", "answer")
 
