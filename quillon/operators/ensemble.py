@@ -1,13 +1,28 @@
-"""Boxes of several models fused, and boxes matched one to one."""
+"""Boxes of several models fused, and boxes matched one to one.
+
+Both are sequential by box within an image and label. As most such groups have a few boxes, the rows are
+sorted by group and read as one stream per task: a call into Python per batch, not per group.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+GROUP = ["image_id", "label"]
+CORNERS = ["x1", "y1", "x2", "y2"]
+#: Boxes of a group beyond which overlaps are worked out in arrays, and rows in a batch that is handed back.
+FEW, BATCH = 32, 10_000
 
 FUSED = "image_id bigint, label string, score double, x1 double, y1 double, x2 double, y2 double, members int"
 
@@ -20,6 +35,76 @@ def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(w * h, total, out=np.zeros_like(w), where=total > 0)
 
 
+def by_group(rows: DataFrame, order: list[Column], work: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """What ``work`` makes of the rows of each image and label, which come first in ``rows``, sorted by ``order``.
+
+    ``work`` gets all rows of a group as tuples and gives tuples of ``schema``.
+    """
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def lists(batch: pa.RecordBatch) -> Iterator[tuple]:
+        return zip(*[c.to_pylist() if c.null_count or not pa.types.is_primitive(c.type) else c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns])
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kind)], schema=kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for _, group in groupby(chain.from_iterable(map(lists, batches)), key=itemgetter(0, 1)):
+            out += work(list(group))
+            if len(out) >= BATCH:
+                yield batch_of(out)
+                out = []
+        if out:
+            yield batch_of(out)
+
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, *order).mapInArrow(run, schema)
+
+
+def iou_of(a: tuple, b: tuple) -> float:
+    """``iou_matrix`` of two boxes."""
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    both = w * h if w > 0 and h > 0 else 0.0
+    total = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both
+    return both / total if total > 0 else 0.0
+
+
+def taken(takers: DataFrame, givers: DataFrame, iou: float, rank: Column | None = None) -> DataFrame:
+    """(image_id, label, det_idx, score, taken_idx, iou): boxes of ``takers``, each taking the best free box of ``givers`` of its image and label with at least ``iou``.
+
+    Both have (image_id, label, det_idx, x1..y2), ``takers`` also score. They take in the order of ``rank``, greatest first and nulls last, then of
+    det_idx; of equally good boxes the one with the least det_idx is taken. iou is null for those that get none.
+    """
+    end = [*CORNERS, "score"]
+    rank = F.lit(None).cast("double") if rank is None else F.nanvl(rank, F.lit(None).cast("double"))
+    left = takers.select(*GROUP, F.lit(True).alias("takes"), rank.alias("rank"), "det_idx", *CORNERS, "score")
+    right = givers.select(*GROUP, F.lit(False).alias("takes"), F.lit(None).cast("double").alias("rank"), "det_idx", *CORNERS, F.lit(None).cast("double").alias("score"))
+    nan = float("nan")
+
+    def match(group: list[tuple]) -> list[tuple]:
+        k = next((i for i, r in enumerate(group) if r[2]), len(group))  # givers come first
+        boxes = [tuple(nan if x is None else x for x in r[5:9]) for r in group]
+        theirs = np.array(boxes[:k], float) if k > FEW else None
+        free, out = list(range(k)), []
+        for r, box in zip(group[k:], boxes[k:]):
+            best, at = -1.0, -1
+            if theirs is not None and len(free) > FEW:
+                over = iou_matrix(np.array([box], float), theirs[free])[0]
+                at = int(over.argmax())
+                best = float(over[at])
+            else:
+                for j, f in enumerate(free):
+                    if (now := iou_of(box, boxes[f])) > best:
+                        best, at = now, j
+            got = (group[free.pop(at)][4], best) if at >= 0 and best >= iou else (None, None)
+            out.append((r[0], r[1], r[4], r[9], *got))
+        return out
+
+    rows = left.unionByName(right)
+    order = [F.col("takes"), F.desc_nulls_last("rank"), F.col("det_idx"), *map(F.col, end)]
+    return by_group(rows, order, match, "image_id bigint, label string, det_idx int, score double, taken_idx int, iou double")
+
+
 def normalized(detections: DataFrame) -> DataFrame:
     """Corners over the image size, in 0..1 and in order."""
     c = F.col

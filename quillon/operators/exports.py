@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.ensemble import taken
 from quillon.operators.ordered import dense_position, ordered_running
 from quillon.session import cut
 
@@ -149,23 +150,8 @@ def matched_boxes(truth: DataFrame, found: DataFrame, iou: float = 0.5) -> DataF
 
     Both have (image_id, label, det_idx, x1..y2), ``found`` also score.
     """
-    from quillon.operators.ensemble import iou_matrix
-
-    cols = ["image_id", "label", "det_idx", "x1", "y1", "x2", "y2"]
-
-    def match(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.reindex(columns=cols), b.reindex(columns=[*cols, "score"]).sort_values(["score", "det_idx"], ascending=[False, True])
-        over = iou_matrix(b[cols[3:]].to_numpy(float), a[cols[3:]].to_numpy(float)) if len(a) and len(b) else None
-        used, rows = set(), []
-        for i, (d, s) in enumerate(zip(b.det_idx, b.score)):
-            best = max((j for j in range(len(a)) if j not in used), key=lambda j: over[i, j], default=None) if over is not None else None
-            hit = best is not None and over[i, best] >= iou
-            if hit:
-                used.add(best)
-            rows.append((*key, int(d), float(s), int(hit)))
-        return pd.DataFrame(rows, columns=["image_id", "label", "det_idx", "score", "hit"])
-
-    return truth.select(*cols).groupBy("image_id", "label").cogroup(found.select(*[F.col(c).alias(c) for c in [*cols, "score"]]).groupBy("image_id", "label")).applyInPandas(match, "image_id bigint, label string, det_idx int, score double, hit int")
+    got = taken(found, truth, iou, F.col("score"))
+    return got.select("image_id", "label", "det_idx", "score", F.col("iou").isNotNull().cast("int").alias("hit"))
 
 
 def image_measures(truth: DataFrame, found: DataFrame, iou: float = 0.5) -> DataFrame:
