@@ -161,20 +161,5 @@ def greedy_match(placed: DataFrame, found: DataFrame, iou: float = 0.30) -> Data
 
     Both have (image_id, label, det_idx, x1..y2); boxes without a partner have a null found_idx.
     """
-    cols = ["image_id", "label", "det_idx", "x1", "y1", "x2", "y2"]
-
-    def match(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = (x.reindex(columns=cols).sort_values("det_idx") for x in (a, b))  # a missing side comes without columns
-        over = iou_matrix(a[cols[3:]].to_numpy(float), b[cols[3:]].to_numpy(float)) if len(a) and len(b) else np.zeros((len(a), len(b)))
-        used, rows = set(), []
-        for i, pid in enumerate(a.det_idx):
-            free = [j for j in range(len(b)) if j not in used and over[i, j] >= iou]
-            j = max(free, key=lambda k: (over[i, k], -k), default=None)
-            used.add(j)
-            rows.append((*key, int(pid), None if j is None else int(b.det_idx.iloc[j]), 0.0 if j is None else float(over[i, j])))
-        out = pd.DataFrame(rows, columns=["image_id", "label", "placed_idx", "found_idx", "iou"])
-        return out.astype({"found_idx": "Int64"})
-
-    # New names of their own, as both sides may come from one table.
-    found = found.select(*[F.col(c).alias(c) for c in cols])
-    return placed.select(*cols).groupBy("image_id", "label").cogroup(found.groupBy("image_id", "label")).applyInPandas(match, "image_id bigint, label string, placed_idx int, found_idx int, iou double")
+    got = taken(placed.withColumn("score", F.lit(None).cast("double")), found, iou)
+    return got.select(*GROUP, F.col("det_idx").alias("placed_idx"), F.col("taken_idx").alias("found_idx"), F.coalesce("iou", F.lit(0.0)).alias("iou"))

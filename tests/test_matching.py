@@ -57,3 +57,12 @@ def test_average_precision_calls_python_per_batch(spark, sides):
     assert per_batch(X.average_precision(spark.createDataFrame(truth, BOX), spark.createDataFrame(found, BOX)))
     bad = spark.createDataFrame([(1, "a", 0, float("nan"), 0.0, 0.0, 9.0, 9.0), (1, "a", 1, None, 0.0, 0.0, 9.0, 9.0), (1, "a", 2, 0.1, 0.0, 0.0, 9.0, 9.0), (1, "a", 3, 0.9, None, 0.0, 9.0, 9.0)], BOX)
     assert {r.det_idx: r.hit for r in X.matched_boxes(bad.where("det_idx = 2"), bad).collect()} == {0: 0, 1: 0, 2: 1, 3: 0}
+
+
+def test_placed_boxes_take_found_ones_per_batch(spark, sides):
+    placed, found = sides
+    got = ensemble.greedy_match(spark.createDataFrame(placed, BOX), spark.createDataFrame(found, BOX))
+    want = by_loop(sorted(placed, key=lambda r: r[2]), found, 0.3)
+    assert {(r.image_id, r.label, r.placed_idx): (r.found_idx, r.iou) for r in got.collect()} == {k: v or (None, 0.0) for k, v in want.items()}
+    assert per_batch(got)
+    assert ensemble.greedy_match(spark.createDataFrame([], BOX), spark.createDataFrame(found, BOX)).count() == 0
