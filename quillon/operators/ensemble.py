@@ -12,7 +12,6 @@ from itertools import chain, groupby
 from operator import itemgetter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,33 +126,38 @@ def weighted_fusion(detections: DataFrame, weights: dict[str, float], iou: float
     ``iou``; a fused box is the mean of its members by score, its score is scaled by how many of
     the models' weights took part. Unknown models weigh 1.
     """
-    total = sum(weights.values()) or 1.0
-
-    def fuse(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf.score >= skip]
-        rank = pdf.score * pdf.model.map(lambda m: weights.get(m, 1.0))
-        pdf = pdf.assign(w=rank).sort_values(["w", "x1", "y1"], ascending=[False, True, True], kind="stable")
-        boxes: list[np.ndarray] = []
-        members: list[list[tuple[np.ndarray, float]]] = []
-        for r in pdf.itertuples():
-            box = np.array([r.x1, r.y1, r.x2, r.y2])
+    total, models = sum(weights.values()) or 1.0, len(weights)
+
+    def fuse(group: list[tuple]) -> list[tuple]:
+        boxes: list[tuple] = []
+        sums: list[list[float]] = []  # of the members: weights, weighted corners, plain corners, number
+        known = np.empty((len(group), 4)) if len(group) > FEW else None
+        for r in group:
+            box, w = tuple(r[3:7]), r[2]
             best, at = iou, -1
-            if boxes:
-                over = iou_matrix(box[None, :], np.array(boxes))[0]
+            if known is not None and len(boxes) > FEW:
+                over = iou_matrix(np.array([box]), known[: len(boxes)])[0]
                 if over.max() > best:
                     at = int(over.argmax())
+            else:
+                for j, b in enumerate(boxes):
+                    if (now := iou_of(box, b)) > best:
+                        best, at = now, j
             if at < 0:
+                at = len(boxes)
                 boxes.append(box)
-                members.append([(box, r.w)])
+                sums.append([w, *(w * x for x in box), *box, 1])
             else:
-                members[at].append((box, r.w))
-                ws = np.array([w for _, w in members[at]])
-                boxes[at] = np.average([b for b, _ in members[at]], axis=0, weights=ws if ws.sum() > 0 else None)
-        rows = [(*key, float(np.mean([w for _, w in m]) * min(len(m), len(weights)) / total), *map(float, b), len(m)) for b, m in zip(boxes, members)]
-        return pd.DataFrame(rows, columns=["image_id", "label", "score", "x1", "y1", "x2", "y2", "members"])
-
-    rows = detections.select("image_id", "model", "label", "score", "x1", "y1", "x2", "y2").where("score is not null and label is not null")
-    return rows.groupBy("image_id", "label").applyInPandas(fuse, FUSED)
+                sums[at] = s = [x + y for x, y in zip(sums[at], [w, *(w * x for x in box), *box, 1])]
+                boxes[at] = tuple(x / s[0] for x in s[1:5]) if s[0] > 0 else tuple(x / s[9] for x in s[5:9])
+            if known is not None:
+                known[at] = boxes[at]
+        return [(r[0], r[1], s[0] / s[9] * min(s[9], models) / total, *b, s[9]) for b, s in zip(boxes, sums)]
+
+    weight = F.coalesce(*[F.when(F.col("model") == m, F.lit(float(w))) for m, w in weights.items()], F.lit(1.0))
+    rows = detections.where("label is not null").where(~F.isnan("score") & (F.col("score") >= skip))
+    rows = rows.select(*GROUP, (F.col("score") * weight).alias("w"), *CORNERS, "model")
+    return by_group(rows, [F.desc("w"), *map(F.col, CORNERS), F.col("model")], fuse, FUSED)
 
 
 def greedy_match(placed: DataFrame, found: DataFrame, iou: float = 0.30) -> DataFrame:

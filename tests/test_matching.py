@@ -66,3 +66,22 @@ def test_placed_boxes_take_found_ones_per_batch(spark, sides):
     assert {(r.image_id, r.label, r.placed_idx): (r.found_idx, r.iou) for r in got.collect()} == {k: v or (None, 0.0) for k, v in want.items()}
     assert per_batch(got)
     assert ensemble.greedy_match(spark.createDataFrame([], BOX), spark.createDataFrame(found, BOX)).count() == 0
+
+
+def test_fusion_calls_python_per_batch(spark, sides):
+    rows = [(*r, f"m{k % 3}") for k, r in enumerate(sides[1])]
+    weights = {"m0": 2.0, "m1": 1.0, "m2": 0.5}
+    got = ensemble.weighted_fusion(spark.createDataFrame(rows, f"{BOX}, model string"), weights)
+    want = {}
+    for r in sorted(rows, key=lambda r: (-r[3] * weights[r[8]], *r[4:8], r[8])):
+        fused = want.setdefault(r[:2], [])
+        at = max(fused, key=lambda f: iou(r, (0, 0, 0, 0, *f[0])), default=None)
+        if at is None or iou(r, (0, 0, 0, 0, *at[0])) <= 0.55:
+            at = [None, []]
+            fused.append(at)
+        at[1].append((r[4:8], r[3] * weights[r[8]]))
+        at[0] = tuple(np.average([b for b, _ in at[1]], axis=0, weights=[w for _, w in at[1]]))
+    flat = [(k[0], k[1], len(m), *np.round((np.mean([w for _, w in m]) * min(len(m), 3) / 3.5, *b), 6)) for k, fused in want.items() for b, m in fused]
+    key = lambda r: (r[0] or -1, *r[1:])
+    assert sorted(((r.image_id, r.label, r.members, *np.round((r.score, r.x1, r.y1, r.x2, r.y2), 6)) for r in got.collect()), key=key) == sorted(flat, key=key) and max(r[2] for r in flat) >= 3
+    assert per_batch(got)
