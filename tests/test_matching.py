@@ -85,3 +85,13 @@ def test_fusion_calls_python_per_batch(spark, sides):
     key = lambda r: (r[0] or -1, *r[1:])
     assert sorted(((r.image_id, r.label, r.members, *np.round((r.score, r.x1, r.y1, r.x2, r.y2), 6)) for r in got.collect()), key=key) == sorted(flat, key=key) and max(r[2] for r in flat) >= 3
     assert per_batch(got)
+
+
+def test_image_measures_call_python_per_batch(spark, sides):
+    truth, found = (spark.createDataFrame([r for r in rows if r[0] is not None], BOX) for rows in sides)
+    got = X.image_measures(truth, found)
+    assert per_batch(got)
+    hits = [k for k, v in by_loop(sorted(sides[1], key=lambda r: (-r[3], r[2])), sides[0], 0.5).items() if v]
+    for r in got.collect():
+        n = sum(k[0] == r.image_id for k in hits)
+        assert (r.hits, r.false_alarms, r.missed) == (n, sum(b[0] == r.image_id for b in sides[1]) - n, sum(b[0] == r.image_id for b in sides[0]) - n)
