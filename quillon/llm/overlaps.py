@@ -5,7 +5,8 @@ a small grid less the mean of all, in coarse steps, then the kind of question an
 are cut into chunks where a rolling hash of their values says so; digests of equal chunks are joined
 across the splits and the lengths of the shared ones are summed into an overlap fraction, from which a
 pair is a candidate. As re-encoding moves single values over the border of a step, the normal form is
-taken with several offsets and cuts. Candidates are then compared pixel by pixel.
+taken with several offsets and cuts. Candidates are then compared pixel by pixel. Pictures of digests too
+common for a join are compared in blocks at some of their pixels first.
 
 Two questions are the same if they have the same numbers and are of one kind: the question_type of
 their rows, or where that is null the type that most rows with the same wording have, or else the wording.
@@ -31,7 +32,7 @@ from quillon.operators.joins import bounded_join
 from quillon.session import cut, spread
 
 GRID = 5
-#: Grey values in a step of a cell, and in one where coarse steps are too common.
+#: Grey values in a step of a cell, and in one of the further digests of pictures whose coarse ones are too common.
 STEP, FINE = 24, 12
 #: Offsets of a step, for either.
 OFFSETS = {STEP: 3, FINE: 6}
@@ -40,8 +41,10 @@ SEEDS = (1, 2)
 MEAN_STEP = 48
 #: A chunk has at least so many cells; after that one cell in ``CUT`` ends it.
 SHORTEST, CUT = 7, 4
-#: Pairs of pictures that a coarse digest may link; what more common digests link is found by the fine digests of their pictures.
+#: Pairs of pictures that a digest may link in a join; the pairs of more common ones are compared in blocks.
 COMMON = 100_000
+#: Pictures of either side in a block, and pixels compared there.
+BLOCK, PROBES = 4_000, 64
 #: Greatest difference of a pixel (0 to 255) between two encodings of one picture.
 PIXEL_DIFFERENCE = 16
 
@@ -184,23 +187,92 @@ def overlaps_of(digests: DataFrame, step: int) -> DataFrame:
     return left.join(right, "digest").where("pic_a <> pic_b").groupBy("pic_a", "pic_b").agg(share.alias("overlap"))
 
 
+def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(pic, bytes) to (pic, w, h, probes): up to PROBES pixels spread over the picture, as packed floats."""
+    for batch in batches:
+        out = []
+        for pic, data in zip(batch.pic, batch.bytes):
+            got = pixels(data)
+            if got is not None:
+                at = np.linspace(0, len(got[2]) - 1, min(PROBES, len(got[2]))).astype(int)
+                out.append((pic, got[0], got[1], got[2][at].astype("<f4").tobytes()))
+        yield pd.DataFrame(out, columns=["pic", "w", "h", "probes"])
+
+
+def near_in_block(block: pd.DataFrame) -> pd.DataFrame:
+    """(pic_a, pic_b) of a block (left, pic, probes) whose probes all differ by at most PIXEL_DIFFERENCE; every pair is compared."""
+    a, b = block[block.left], block[~block.left]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    if len(a) and len(b):
+        x, y = (np.frombuffer(b"".join(side.probes), "<f4").reshape(len(side), -1) for side in (a, b))
+        order = np.argsort(-np.vstack([x, y]).var(axis=0))  # what tells most apart comes first
+        x, y = np.ascontiguousarray(x[:, order].T), np.ascontiguousarray(y[:, order].T)
+        for at in range(0, len(a), 256):
+            i, j = np.nonzero(np.abs(x[0, at : at + 256, None] - y[0][None, :]) <= PIXEL_DIFFERENCE)
+            i += at
+            for p, q in zip(x[1:], y[1:]):
+                if not len(i):
+                    break
+                kept = np.abs(p[i] - q[j]) <= PIXEL_DIFFERENCE
+                i, j = i[kept], j[kept]
+            found.append((i, j))
+    one, two = (np.concatenate([f[k] for f in found]) if found else np.empty(0, int) for k in (0, 1))
+    return pd.DataFrame({"pic_a": a.pic.to_numpy(object)[one], "pic_b": b.pic.to_numpy(object)[two]})
+
+
+def compared(digests: DataFrame, pictures: DataFrame) -> DataFrame:
+    """(pic_a, pic_b): all pictures of both sides that share one of ``digests`` and are near each other at their probes.
+
+    The pictures of a digest are cut into blocks of about BLOCK of either side, each of them compared with each of the other side, so
+    that no task holds a digest as a whole.
+    """
+    rows = cut(digests.select("digest", "pic", "in_train", "in_other").distinct())
+    n = lambda c: F.ceil(F.sum(F.col(c).cast("bigint")) / BLOCK).cast("bigint")
+    blocks = rows.groupBy("digest").agg(n("in_train").alias("blocks_a"), n("in_other").alias("blocks_b"))
+    told = spread(pictures.join(rows.select("pic").distinct(), "pic").select("pic", "bytes"), "pic").mapInPandas(probed, "pic binary, w int, h int, probes binary")
+    rows = cut(rows.join(blocks, "digest").join(told, "pic"))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    own = lambda c: F.pmod(F.xxhash64("pic"), F.col(c))
+    a = rows.where("in_train").select("digest", "w", "h", own("blocks_a").alias("i"), every("blocks_b").alias("j"), F.lit(True).alias("left"), "pic", "probes")
+    b = rows.where("in_other").select("digest", "w", "h", every("blocks_a").alias("i"), own("blocks_b").alias("j"), F.lit(False).alias("left"), "pic", "probes")
+    return a.unionByName(b).groupBy("digest", "w", "h", "i", "j").applyInPandas(near_in_block, "pic_a binary, pic_b binary").where("pic_a <> pic_b")
+
+
+def share_of(pairs: DataFrame, digests: DataFrame, step: int) -> DataFrame:
+    """``pairs`` (pic_a, pic_b, overlap), overlap at least as in ``overlaps_of`` with all of ``digests``."""
+    per = digests.groupBy("pic").agg(F.collect_list(F.struct("digest", "cells")).alias("d"))  # a few dozen of a picture
+    both = pairs.join(per.select(F.col("pic").alias("pic_a"), F.col("d").alias("d_a")), "pic_a", "left").join(per.select(F.col("pic").alias("pic_b"), F.col("d").alias("d_b")), "pic_b", "left")
+    cells = F.aggregate("d_a", F.lit(0).cast("bigint"), lambda n, x: n + x["cells"] * F.size(F.filter("d_b", lambda y: y["digest"] == x["digest"])))
+    share = F.least(F.lit(1.0), cells / (GRID * GRID * OFFSETS[step] * len(SEEDS)))
+    return both.select("pic_a", "pic_b", F.greatest("overlap", F.coalesce(share, F.lit(0.0))).alias("overlap"))
+
+
 def picture_links(pictures: DataFrame, *, common: int = COMMON) -> DataFrame:
     """(pic_a, pic_b, overlap): linked pictures of ``pictures`` (pic, bytes, in_train, in_other), pic_a in train, pic_b in another split.
 
     A picture in both is linked to itself. ``overlap`` is the share of cells in shared chunks, over all
-    views. Digests that would link more than ``common`` pairs, as those of nearly flat pictures do, are
-    left to the fine digests of the pictures that have them.
+    views. The pictures of digests that would link more than ``common`` pairs, as those of nearly flat pictures do, are
+    compared at some pixels before they are paired, so none of these pairs is lost; they also have fine digests, and the greater share counts.
     """
     coarse = digests_of(pictures, STEP)
     shared = overlaps_of(coarse.where(F.col("pairs") <= common), STEP)
     crowded = cut(coarse.where(F.col("pairs") > common).select("pic").distinct())
+    fine = None
     if not crowded.isEmpty():
-        shared = shared.unionByName(overlaps_of(digests_of(pictures.join(crowded, "pic"), FINE), FINE)).groupBy("pic_a", "pic_b").agg(F.max("overlap").alias("overlap"))
+        some = pictures.join(crowded, "pic")
+        fine = digests_of(some, FINE)
+        parts = [shared, *(compared(x.where(F.col("pairs") > common), some) for x in (coarse, fine)), overlaps_of(fine.where(F.col("pairs") <= common), FINE)]
+        shared = parts[0].select("pic_a", "pic_b")
+        for part in parts[1:]:
+            shared = shared.unionByName(part.select("pic_a", "pic_b"))
+        shared = shared.distinct().withColumn("overlap", F.lit(0.0))
     a = pictures.select(F.col("pic").alias("pic_a"), F.col("bytes").alias("bytes_a"))
     b = pictures.select(F.col("pic").alias("pic_b"), F.col("bytes").alias("bytes_b"))
-    near = shared.join(a, "pic_a").join(b, "pic_b").where(pixel_difference("bytes_a", "bytes_b") <= PIXEL_DIFFERENCE)
+    near = shared.join(a, "pic_a").join(b, "pic_b").where(pixel_difference("bytes_a", "bytes_b") <= PIXEL_DIFFERENCE).select("pic_a", "pic_b", "overlap")
+    if fine is not None:
+        near = share_of(share_of(near, coarse, STEP), fine, FINE)
     same = pictures.where("in_train and in_other").select(F.col("pic").alias("pic_a"), F.col("pic").alias("pic_b"), F.lit(1.0).alias("overlap"))
-    return near.select("pic_a", "pic_b", "overlap").unionByName(same)
+    return near.unionByName(same)
 
 
 def picture_key(data: Column) -> Column:

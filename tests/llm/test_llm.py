@@ -283,6 +283,19 @@ def test_common_digests_are_left_to_fine_ones(spark):
         assert got == {(k, 100 + k) for k in range(20)}
 
 
+def test_pictures_of_common_digests_lose_no_pair(spark):
+    # Cells of this pair differ by 13: they share coarse steps of 24, but no fine step of 12.
+    side = np.where(np.random.default_rng(3).random((5, 5)) < 0.5, 12.0, -12.0)
+    turn = np.where(np.indices((5, 5)).sum(0) % 2, 6.5, -6.5)
+    drawn = lambda cells: b"P5\n10 10\n255\n" + np.round(128 + cells.repeat(2, 0).repeat(2, 1)).astype(np.uint8).tobytes()
+    pics = [(1, drawn(side + turn), True, False), (2, drawn(side - turn), False, True), (3, drawn(side - turn * 2), False, True)]
+    pics += [(10 + k, picture(k % 9, noise=50 + k), k % 2 == 0, k % 3 > 0) for k in range(60)]
+    df = spark.createDataFrame([(str(k).encode(), b, t, o) for k, b, t, o in pics], "pic binary, bytes binary, in_train boolean, in_other boolean")
+    joined, blocks = ({(int(r.pic_a), int(r.pic_b)): r.overlap for r in overlaps.picture_links(df, common=common).collect()} for common in (overlaps.COMMON, 0))
+    assert (1, 2) in joined and (1, 3) not in joined and len(joined) > 60
+    assert joined.keys() <= blocks.keys() and all(blocks[k] >= joined[k] for k in joined)
+
+
 def test_every_re_encoding_is_linked(spark):
     pics = [("a", picture(s)) for s in range(60)] + [("b", picture(s, noise=900 + s)) for s in range(60)]
     rows = [{"id": k + 1, "question": "x 1", "bytes": b, "split": "train" if side == "a" else "test"} for k, (side, b) in enumerate(pics)]
