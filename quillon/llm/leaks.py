@@ -3,7 +3,7 @@
 Greedy string tiling, seeded by a join. Texts of one make share most of their words, so only what few
 held-out descriptions hold tells that a document comes from one of them: a rare word (a name, a code),
 or a run of as many words as make a leak. Seeds are the windows of WINDOW words with a rare word, and
-such runs, as far as few descriptions hold them. Documents and descriptions are brought to one normal form and joined on the rolling (Karp-Rabin) hashes of their
+such runs, each made longer until few descriptions hold it. Documents and descriptions are brought to one normal form and joined on the rolling (Karp-Rabin) hashes of their
 seeds. Only joined pairs are tiled: the longest common runs that don't overlap are marked first, runs
 that follow each other in both texts make a passage, whose altered words count against it. A document
 holds a held-out text if its passages with a seed cover enough words of it, in whatever order. As only
@@ -37,7 +37,7 @@ GAP = 4
 PASSAGE, LEAK = 4, 13
 #: Share of a short held-out text that a document must hold.
 SHORT_SHARE = 0.8
-#: A word is rare if at most this share of the distinct descriptions has it, or at most LEAST of them; a seed is held by no more than MOST.
+#: A word is rare if at most this share of the distinct descriptions has it, or at most LEAST of them; a seed shorter than its description is held by no more than MOST.
 RARE_SHARE, LEAST, MOST = 0.03, 4, 30
 #: Bits of the bitmap.
 BITS = 1 << 25
@@ -188,7 +188,11 @@ def descriptions(items: DataFrame) -> DataFrame:
 
 
 def seeds_of(asked: DataFrame) -> DataFrame:
-    """(description, at, size, hash): the windows with a rare word and the runs of each description that few of all hold."""
+    """(description, at, size, hash): the windows with a rare word and the runs of each description that few of all hold.
+
+    Those that more hold are made longer, word by word on either side, until few hold them or they are the whole description; so a
+    description made of phrases that many others share is known by what only few have together.
+    """
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
@@ -202,9 +206,27 @@ def seeds_of(asked: DataFrame) -> DataFrame:
                 out += [(d, at, size, h) for at, h in enumerate(hasher.windows(codes, size))]
             yield pd.DataFrame(out, columns=["description", "at", "size", "hash"])
 
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher()
+        for batch in batches:
+            yield batch.drop(columns="words").assign(hash=[hasher.windows(hasher.codes_of(list(w)), len(w))[0] for w in batch.words])
+
+    most, texts = few(asked), asked.select("description", "words")
     every = cut(asked.select("description", "words", "rare").mapInPandas(windows, "description bigint, at int, size int, hash bigint"))
-    held = every.select("description", "hash").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    return every.join(held.where(F.col("n") <= few(asked)).select("hash"), "hash")
+    seeds = None
+    while True:
+        held = every.select("description", "hash").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+        counted = cut(every.join(held, "hash").join(texts.select("description", F.size("words").alias("words")), "description"))
+        is_seed = (F.col("n") <= most) | (F.col("size") == F.col("words"))
+        kept = counted.where(is_seed).select("description", "at", "size", "hash")
+        seeds = kept if seeds is None else seeds.unionByName(kept)
+        common = counted.where(~is_seed)
+        if common.isEmpty():
+            return seeds
+        # A word more on either side, within the description.
+        longer = common.select("description", F.explode(F.array(F.col("at"), F.col("at") - 1)).alias("at"), (F.col("size") + 1).alias("size"), "words").where("at >= 0 and at + size <= words").drop("words").distinct()
+        runs = longer.join(texts, "description").withColumn("words", F.slice("words", F.col("at") + 1, F.col("size")))
+        every = cut(runs.select("description", "at", "size", "words").mapInPandas(hashed, "description bigint, at int, size int, hash bigint"))
 
 
 def few(asked: DataFrame) -> int:
@@ -229,7 +251,7 @@ def bitmap(seeds: DataFrame) -> bytes:
 
 def touched(documents: DataFrame, seeds: DataFrame) -> DataFrame:
     """(key, doc_id, text, hashes): the documents with windows that the bitmap has; one pass over the corpus."""
-    sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect())  # at most LEAK of them
+    sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect())  # at most LEAK of them, and those of longer seeds
     held = documents.sparkSession.sparkContext.broadcast(bitmap(seeds))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -379,6 +379,16 @@ def test_seeds_miss_no_leak_that_tiling_all_pairs_finds(spark):
     assert got == want and len(want) > 100
 
 
+def test_leaks_of_descriptions_whose_phrases_many_others_share(spark):
+    # 36 descriptions of two out of six sentences; every run of 13 words is in six or more of them, and no word is rare.
+    part = [f"near a gate by the old road {w} queue under tall trees at dawn" for w in "one two three four five six".split()]
+    texts = [f"{a} {b}" for a in part for b in part]
+    docs_ = [f"Some filler stands here. {texts[8]} Then more filler.", f"Filler again {part[1]} and on it goes.", "near a gate by the old road seven queue under tall trees at dawn"]
+    d = spark.createDataFrame(list(enumerate(docs_)), "doc_id bigint, text string")
+    i = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks.leaked_documents(d, i).collect()} == {(0, 8)}
+
+
 def test_tiles_are_the_longest_first():
     a, b = "a b c d e f g h".split(), "e f g h x a b c d y b c d".split()
     at, hasher = {}, leaks.Hasher()
