@@ -6,7 +6,7 @@ sorted by group and read as one stream per task: a call into Python per batch, n
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from itertools import chain, groupby
 from operator import itemgetter
@@ -22,6 +22,8 @@ GROUP = ["image_id", "label"]
 CORNERS = ["x1", "y1", "x2", "y2"]
 #: Boxes of a group beyond which overlaps are worked out in arrays, and rows in a batch that is handed back.
 FEW, BATCH = 32, 10_000
+#: Pairs of boxes of a group beyond which it is matched box by box, and pairs of groups up to this that are held at once.
+MANY, AT_ONCE = 4_096, 250_000
 
 FUSED = "image_id bigint, label string, score double, x1 double, y1 double, x2 double, y2 double, members int"
 
@@ -34,6 +36,16 @@ def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(w * h, total, out=np.zeros_like(w), where=total > 0)
 
 
+def iou_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``iou_matrix`` of each box of ``a`` with that of ``b`` in the same row."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        w = np.clip(np.minimum(a[:, 2], b[:, 2]) - np.maximum(a[:, 0], b[:, 0]), 0, None)
+        h = np.clip(np.minimum(a[:, 3], b[:, 3]) - np.maximum(a[:, 1], b[:, 1]), 0, None)
+        area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+        total = area(a) + area(b) - w * h
+        return np.divide(w * h, total, out=np.zeros_like(w), where=total > 0)
+
+
 def by_group(rows: DataFrame, order: list[Column], work: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
     """What ``work`` makes of the rows of each image and label, which come first in ``rows``, sorted by ``order``.
 
@@ -68,6 +80,70 @@ def iou_of(a: tuple, b: tuple) -> float:
     return both / total if total > 0 else 0.0
 
 
+def first_come(takers: Sequence[Sequence[float]], givers: Sequence[Sequence[float]], iou: float) -> Iterator[tuple[int, float] | None]:
+    """Of each taker, in order, the best free giver with at least ``iou``, the first of equally good ones, and their overlap."""
+    theirs = np.array(givers, float) if len(givers) > FEW else None
+    free = list(range(len(givers)))
+    for box in takers:
+        best, at = -1.0, -1
+        if theirs is not None and len(free) > FEW:
+            over = iou_matrix(np.array([box], float), theirs[free])[0]
+            at = int(over.argmax())
+            best = float(over[at])
+        else:
+            for j, f in enumerate(free):
+                if (now := iou_of(box, givers[f])) > best:
+                    best, at = now, j
+        yield (free.pop(at), best) if at >= 0 and best >= iou else None
+
+
+def takers_served(group: np.ndarray, takes: np.ndarray, gives: np.ndarray, score: np.ndarray, place: np.ndarray, corners: np.ndarray, iou: float) -> np.ndarray:
+    """Which of the boxes get another by the rule of ``taken``, by score and place, for all groups at once; a box may both take and give.
+
+    Pairs of too little overlap can't be taken, and a pair of which neither box has another is. The few that are left are gone
+    through in order. Groups of many pairs go box by box, the others in pieces, so that no more pairs than ``AT_ONCE`` and a group's are held.
+    """
+    served = np.zeros(len(group), bool)
+    order = np.argsort(group, kind="stable")
+    t, g = order[takes[order]], order[gives[order]]
+    of_t, of_g = group[t], group[g]
+    first, behind = np.searchsorted(of_g, of_t), np.searchsorted(of_g, of_t, "right")
+    pairs = (behind - first) * (np.searchsorted(of_t, of_t, "right") - np.searchsorted(of_t, of_t))
+    unsure = np.isnan(score)
+    in_place = lambda rows: (*corners[rows].T[::-1], place[rows])
+    in_order = lambda rows: rows[np.lexsort((*in_place(rows), -score[rows], unsure[rows]))]
+
+    for k in np.unique(of_t[pairs > MANY]):
+        own, theirs = (rows[slice(*np.searchsorted(of, [k, k + 1]))] for rows, of in ((t, of_t), (g, of_g)))
+        own, theirs = in_order(own), theirs[np.lexsort(in_place(theirs))]
+        served[own] = [x is not None for x in first_come(corners[own], corners[theirs], iou)]
+
+    few = (pairs > 0) & (pairs <= MANY)
+    t, of_t, first, n = t[few], of_t[few], first[few], (behind - first)[few]
+    before = (np.cumsum(n) - n)[np.searchsorted(of_t, of_t)]  # pairs before the group
+    for piece in np.split(np.arange(len(t)), np.flatnonzero(np.diff(before // AT_ONCE)) + 1):
+        m = n[piece]
+        a = np.repeat(t[piece], m)
+        b = g[np.arange(len(a)) + np.repeat(first[piece] - np.cumsum(m) + m, m)]
+        over = iou_pairs(corners[a], corners[b])
+        enough = over >= iou
+        a, b, over = a[enough], b[enough], over[enough]
+        alone = (np.bincount(a, minlength=len(group))[a] == 1) & (np.bincount(b, minlength=len(group))[b] == 1)
+        served[a[alone]] = True
+        a, b, over = a[~alone], b[~alone], over[~alone]
+        at = np.zeros((2, len(group)), int)
+        own, theirs = in_order(np.unique(a)), np.unique(b)
+        at[0, own] = np.arange(len(own))
+        at[1, theirs[np.lexsort(in_place(theirs))]] = np.arange(len(theirs))
+        gone: set[int] = set()
+        in_turn = np.lexsort((at[1, b], -over, at[0, a]))
+        for x, y in zip(a[in_turn].tolist(), b[in_turn].tolist()):
+            if not served[x] and y not in gone:
+                served[x] = True
+                gone.add(y)
+    return served
+
+
 def taken(takers: DataFrame, givers: DataFrame, iou: float, rank: Column | None = None) -> DataFrame:
     """(image_id, label, det_idx, score, taken_idx, iou): boxes of ``takers``, each taking the best free box of ``givers`` of its image and label with at least ``iou``.
 
@@ -83,21 +159,8 @@ def taken(takers: DataFrame, givers: DataFrame, iou: float, rank: Column | None
     def match(group: list[tuple]) -> list[tuple]:
         k = next((i for i, r in enumerate(group) if r[2]), len(group))  # givers come first
         boxes = [tuple(nan if x is None else x for x in r[5:9]) for r in group]
-        theirs = np.array(boxes[:k], float) if k > FEW else None
-        free, out = list(range(k)), []
-        for r, box in zip(group[k:], boxes[k:]):
-            best, at = -1.0, -1
-            if theirs is not None and len(free) > FEW:
-                over = iou_matrix(np.array([box], float), theirs[free])[0]
-                at = int(over.argmax())
-                best = float(over[at])
-            else:
-                for j, f in enumerate(free):
-                    if (now := iou_of(box, boxes[f])) > best:
-                        best, at = now, j
-            got = (group[free.pop(at)][4], best) if at >= 0 and best >= iou else (None, None)
-            out.append((r[0], r[1], r[4], r[9], *got))
-        return out
+        got = first_come(boxes[k:], boxes[:k], iou)
+        return [(r[0], r[1], r[4], r[9], *((group[g[0]][4], g[1]) if g else (None, None))) for r, g in zip(group[k:], got)]
 
     rows = left.unionByName(right)
     order = [F.col("takes"), F.desc_nulls_last("rank"), F.col("det_idx"), *map(F.col, end)]

@@ -6,12 +6,16 @@ import io
 import json
 import os
 import tarfile
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators.ensemble import taken
+from quillon.operators.ensemble import CORNERS, taken, takers_served
 from quillon.operators.ordered import dense_position, ordered_running
 from quillon.session import cut
 
@@ -155,11 +159,55 @@ def matched_boxes(truth: DataFrame, found: DataFrame, iou: float = 0.5) -> DataF
 
 
 def image_measures(truth: DataFrame, found: DataFrame, iou: float = 0.5) -> DataFrame:
-    """(image_id, hits, false_alarms, missed) of each image with a true or found box."""
-    t = truth.groupBy("image_id").agg(F.count(F.lit(1)).alias("t"))
-    f = matched_boxes(truth, found, iou).groupBy("image_id").agg(F.sum("hit").alias("h"), F.count(F.lit(1)).alias("n"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return t.join(f, "image_id", "full").select("image_id", zero("h").alias("hits"), (zero("n") - zero("h")).alias("false_alarms"), (zero("t") - zero("h")).alias("missed"))
+    """(image_id, hits, false_alarms, missed) of each image with a true or found box, matched as by ``matched_boxes``."""
+    box = ["image_id", "label", "det_idx", *CORNERS]
+    true = truth.select(*box, F.lit(None).cast("double").alias("score"), F.lit(True).alias("true"), F.lit(False).alias("found"))
+    return marked_measures(true.unionByName(found.select(*box, "score", F.lit(False).alias("true"), F.lit(True).alias("found"))), iou)
+
+
+def marked_measures(boxes: DataFrame, iou: float = 0.5) -> DataFrame:
+    """``image_measures`` of one table whose boxes are marked ``true``, ``found`` or both.
+
+    Needs one order by image: boxes partitioned and sorted by image_id are read as they are, and a batch of images is matched at once.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """The batches cut anew, so that no image is in two."""
+        held: list[pa.RecordBatch] = []
+        for b in (b for b in batches if b.num_rows):
+            last = b.column("image_id")[-1]
+            same = pc.is_null(b.column("image_id")) if not last.is_valid else pc.fill_null(pc.equal(b.column("image_id"), last), False)
+            at = pc.index(same, True).as_py()
+            if held and (at or held[-1].column("image_id")[-1] != last):
+                yield pa.Table.from_batches([*held, b.slice(0, at)])
+                held = []
+            elif at:
+                yield pa.Table.from_batches([b.slice(0, at)])
+            held.append(b.slice(at))
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def measured(t: pa.Table) -> pa.RecordBatch:
+        number = lambda c, null: pc.fill_null(t[c], null).to_numpy()
+        ids, unknown = number("image_id", 0), pc.is_null(t["image_id"]).to_numpy()
+        begins = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (unknown[1:] != unknown[:-1])])
+        image = np.zeros(len(ids), int)
+        image[begins[1:]] = 1
+        image = image.cumsum()
+        labels = t["label"].combine_chunks().dictionary_encode()
+        label = pc.fill_null(labels.indices, len(labels.dictionary)).to_numpy().astype(int)
+        corners = np.column_stack([number(c, float("nan")) for c in CORNERS])
+        place = np.where(pc.is_null(t["det_idx"]).to_numpy(), np.iinfo(int).min, number("det_idx", 0).astype(int))
+        true, found = number("true", False), number("found", False)
+        hit = takers_served(image * (len(labels.dictionary) + 1) + label, found, true, number("score", float("nan")), place, corners, iou)
+        h, f, n = (np.bincount(image[x], minlength=len(begins)) for x in (hit, found, true))
+        return pa.RecordBatch.from_arrays([t["image_id"].combine_chunks().take(pa.array(begins)), *map(pa.array, (h, f - h, n - h))], ["image_id", "hits", "false_alarms", "missed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(measured, whole(batches))
+
+    rows = boxes.select("image_id", "label", F.col("det_idx").cast("bigint").alias("det_idx"), *[F.col(c).cast("double").alias(c) for c in ("score", *CORNERS)], "true", "found").where(F.col("true") | F.col("found"))
+    return rows.repartition("image_id").sortWithinPartitions("image_id").mapInArrow(run, "image_id bigint, hits bigint, false_alarms bigint, missed bigint")
 
 
 def average_precision(truth: DataFrame, found: DataFrame, iou: float = 0.5) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import ensemble
 from quillon.operators import exports as X
+from quillon.plans import core
 
 BOX = "image_id bigint, label string, det_idx int, score double, x1 double, y1 double, x2 double, y2 double"
 
@@ -95,3 +96,47 @@ def test_image_measures_call_python_per_batch(spark, sides):
     for r in got.collect():
         n = sum(k[0] == r.image_id for k in hits)
         assert (r.hits, r.false_alarms, r.missed) == (n, sum(b[0] == r.image_id for b in sides[1]) - n, sum(b[0] == r.image_id for b in sides[0]) - n)
+
+
+def test_image_measures_shuffle_boxes_once(spark):
+    plan = core.QUERIES["image_measures"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("MapInArrow") == 1 and "Join" not in plan  # boxes by image; neither sides nor hits are shuffled again
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_marked_measures_match_many_images_at_once(spark, batch):
+    rows = [r for seed in (3, 4, 5) for r in some_boxes(seed, [30, 0, 170, 3, 1] + [12] * 20)]  # in places three boxes of one det_idx
+    rows = [(r[0], r[1] if k % 5 else None, r[2], (None, float("nan"))[k % 2] if k % 11 == 0 else r[3], *r[4:], k % 3 > 0, k % 4 > 0) for k, r in enumerate(rows)]
+    order = lambda r: (r[2], *r[4:8])
+    want = {}
+    for i in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == i]
+        free, found, hits = sorted((r for r in own if r[8]), key=order), [r for r in own if r[9]], 0
+        for f in sorted(found, key=lambda r: (r[3] is None or r[3] != r[3], 0 if r[3] is None or r[3] != r[3] else -r[3], order(r))):
+            best = max((t for t in free if t[1] == f[1]), key=lambda t: iou(f, t), default=None)
+            if best and iou(f, best) >= 0.5:
+                free.remove(best)
+                hits += 1
+        want[i] = (hits, len(found) - hits, len(free))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = X.marked_measures(spark.createDataFrame(rows, f"{BOX}, true boolean, found boolean")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(want) and {r.image_id: tuple(r)[1:] for r in got} == want and 0 < sum(h for h, _, _ in want.values())
+    assert max(sum(1 for r in rows if r[:2] == k and r[8]) * sum(1 for r in rows if r[:2] == k and r[9]) for k in {r[:2] for r in rows}) > ensemble.MANY  # box by box, too
+
+
+def test_takers_are_served_alike_by_box_by_piece_and_at_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    group = rng.integers(0, 40, 600)
+    low = rng.integers(0, 20, (600, 2))
+    corners = np.hstack([low, low + rng.integers(1, 25, (600, 2))]).astype(float)
+    args = (group, rng.random(600) < 0.8, rng.random(600) < 0.8, rng.integers(3, 9, 600) / 10, rng.integers(0, 9, 600), corners, 0.3)
+    want = ensemble.takers_served(*args)
+    assert 0 < want.sum() < args[1].sum() and not (want & ~args[1]).any()
+    for name, value in (("AT_ONCE", 1), ("MANY", 0)):
+        monkeypatch.setattr(ensemble, name, value)
+        assert (ensemble.takers_served(*args) == want).all()
+    assert not len(ensemble.takers_served(*[x[:0] for x in args[:-1]], 0.3))
